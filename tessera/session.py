@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Sets the SQL settings above on a session; settings for sizes stay the cluster's."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    # Python workers find this package where the driver has it; where no such folder exists this changes nothing.
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH", "")]))
     return spark
 
 
@@ -53,6 +60,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path  # for discard()
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # shuffle files of finished work go once the driver's garbage is collected
     return out
 
 
@@ -86,6 +95,24 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def point_at(spark: SparkSession, table_dir: str, version: str) -> None:
+    """Makes ``version`` the current one of ``table_dir`` by one rename over the pointer file."""
+    fs, pointer = _fs(spark, f"{table_dir}/CURRENT")
+    _, staged = _fs(spark, f"{table_dir}/.CURRENT-{uuid.uuid4().hex}")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, pointer, options)
+
+
+def pointed_at(spark: SparkSession, table_dir: str) -> str | None:
+    """The current version's name, None before the first."""
+    return _read_text(spark, f"{table_dir}/CURRENT")
+
+
 def publish(df: DataFrame, table_dir: str, keep: int = 2) -> DataFrame:
     """Writes a new version of a table, then makes it current by one rename.
 
@@ -93,20 +120,12 @@ def publish(df: DataFrame, table_dir: str, keep: int = 2) -> DataFrame:
     the old one current. The ``keep`` newest versions stay for readers that began earlier.
     """
     spark = df.sparkSession
-    now = _read_text(spark, f"{table_dir}/CURRENT")
+    now = pointed_at(spark, table_dir)
     number = int(now.split("-")[0]) + 1 if now else 1
     version = f"{number}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(f"{table_dir}/v/{version}")
-    fs, pointer = _fs(spark, f"{table_dir}/CURRENT")
-    _, staged = _fs(spark, f"{table_dir}/.CURRENT-{version}")
-    stream = fs.create(staged, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(staged, pointer, options)
-    _, versions = _fs(spark, f"{table_dir}/v")
+    point_at(spark, table_dir, version)
+    fs, versions = _fs(spark, f"{table_dir}/v")
     for old in fs.listStatus(versions):
         if int(old.getPath().getName().split("-")[0]) <= number - keep:
             fs.delete(old.getPath(), True)
@@ -115,5 +134,5 @@ def publish(df: DataFrame, table_dir: str, keep: int = 2) -> DataFrame:
 
 def published(spark: SparkSession, table_dir: str) -> DataFrame | None:
     """The current version of a published table, None before the first."""
-    version = _read_text(spark, f"{table_dir}/CURRENT")
+    version = pointed_at(spark, table_dir)
     return spark.read.parquet(f"{table_dir}/v/{version}") if version else None
