@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import capping, history, neardup, repetition
 from tessera.plans.core_problems import table
+from tessera.session import scratch_path
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +23,53 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(p2_found(spark, sf_dir), "digest_a", "digest_b").withColumnsRenamed({"key": "digest", "group_key": "group_digest"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "feed_items").filter("object_id is not null")
+    latest = items.groupBy("object_id").agg(F.max_by(F.struct("author_id", "created_at", "evidence_score"), "item_no").alias("r")).select("object_id", "r.*")
+    group = F.when(F.col("author_id").isNotNull(), F.concat("author_id", F.lit("\u0000"), F.coalesce(F.substring("created_at", 1, 10), F.lit(""))))
+    return capping.over_limit(latest, group, capping.preference_key(F.col("evidence_score"), F.col("object_id")), most=4).select("object_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads, the earlier half of the batches into an empty store and then the rest."""
+    chunks = _chunks(spark, sf_dir).select("digest", F.col("payload").alias("content"), F.col("batch_no").alias("batch"))
+    named = table(spark, sf_dir, "ingest_receipts").select(F.explode("chunk_digests").alias("digest"), F.col("batch_no").alias("batch")).select(F.lower("digest").alias("digest"), "batch")
+    half = (chunks.agg(F.max("batch")).first()[0] or 0) // 2
+    store = history.History(spark, scratch_path(spark, "history"))
+    early = store.add(chunks.filter(F.col("batch") <= half), named.filter(F.col("batch") <= half))
+    return early.unionByName(store.add(chunks.filter(F.col("batch") > half), named.filter(F.col("batch") > half))).withColumnRenamed("batch", "batch_no")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeating(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_kind").select("doc_id")
+
+
+def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cutoff certified for each kind of document."""
+    scored = repetition.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "doc_kind"), "text")
+    return repetition.certified_cutoffs(repetition.holdout(scored, "doc_id", F.col("doc_kind")), (0.1, 0.15, 0.2, 0.25, 0.3))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word runs and repeated share of every document."""
+    scored = repetition.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return scored.select("doc_id", F.col("_runs").cast("long").alias("runs"), F.round("_share", 9).alias("repeated_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p6_found, p10_found, p10_cutoffs, p10_shares)}
+
+_RUNS = """
+w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') words from documents),
+r as (select doc_id, greatest(len(words) - 5, 0) runs, list_transform(range(1, greatest(len(words) - 5, 0) + 1), lambda i: array_to_string(words[i:i+5], ' ')) run from w),
+s as (select doc_id, runs::bigint runs, case when runs > 0 then (runs - len(list_distinct(run))) / runs::double else 0.0 end share from r)
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": """
+with l as (select object_id, arg_max({a: author_id, c: created_at, s: evidence_score}, item_no) r from feed_items where object_id is not null group by 1)
+select object_id from l where r.a is not null
+qualify row_number() over (partition by r.a, substr(r.c, 1, 10) order by r.s desc nulls last, object_id) > 4
+""",
+    "p10_found": f"with {_RUNS} select doc_id from s where runs >= 12 and share >= 0.3",
+    "p10_shares": f"with {_RUNS} select doc_id, runs, round(share, 9) repeated_share from s",
+}
