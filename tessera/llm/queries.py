@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import capping, history, neardup, repetition
+from tessera.llm import capping, history, mixing, neardup, packing, repetition, tokens
 from tessera.plans.core_problems import table
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,37 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.unionByName(store.add(chunks.filter(F.col("batch") > half), named.filter(F.col("batch") > half))).withColumnRenamed("batch", "batch_no")
 
 
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(tokens.token_lengths(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "lengths")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's container, for each capacity."""
+    lengths, out = _lengths(spark, sf_dir), None
+    for r in table(spark, sf_dir, "pack_sizes").collect():  # three rows
+        one = packing.packed(lengths.select("id", "n_tokens"), r.capacity_tokens)
+        one = one.select(F.lit(r.pack_name).alias("pack_name"), "container", F.col("id").alias("doc_id"), "piece", "start", "n_tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, per capacity."""
+    filled = p8_packed(spark, sf_dir).groupBy("pack_name").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    sizes = table(spark, sf_dir, "pack_sizes")
+    return filled.join(F.broadcast(sizes), "pack_name").select("pack_name", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled_share"))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, with how often each is used."""
+    return mixing.mixed(_lengths(spark, sf_dir), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.report(p9_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repeating(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_kind").select("doc_id")
 
@@ -56,7 +87,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.col("_runs").cast("long").alias("runs"), F.round("_share", 9).alias("repeated_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p6_found, p10_found, p10_cutoffs, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_cutoffs, p10_shares)}
 
 _RUNS = """
 w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') words from documents),
