@@ -19,6 +19,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }
 
 
