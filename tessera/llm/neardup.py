@@ -30,17 +30,30 @@ from tessera.session import discard, materialize, tasks_for
 
 WIDTH = 8
 #: Counters of the frequency table, a fixed size whatever the data.
-_COUNTERS = 1 << 16
-_ROUNDS = 3
+_COUNTERS = 1 << 18
+_COUNTER_SHIFT = np.uint64(46)
+#: Pairs of one block of asking contents are counted together.
+_BLOCK = 1_000
+_ROUNDS = 2
 _EPS = 1e-9
 
 
-def runs_of(content: bytes) -> np.ndarray:
-    """The distinct 8-byte runs, sorted; each is one 64-bit number, so equality is exact."""
-    a = np.frombuffer(content, np.uint8)
-    if len(a) < WIDTH:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(a, WIDTH)).view("<u8").ravel())
+def all_runs(content) -> np.ndarray:
+    """Every 8-byte run in its place; each is one 64-bit number, so equality is exact."""
+    n = len(content) - WIDTH + 1
+    return np.ndarray(n, "<u8", content, strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint64)
+
+
+def runs_of(content) -> np.ndarray:
+    """The distinct 8-byte runs, sorted."""
+    x = all_runs(content)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def bytes_of(column: pa.Array) -> list[memoryview | None]:
+    """The binaries of a column without a copy; None where null."""
+    return [memoryview(x.as_buffer()) if x.is_valid else None for x in column]
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -57,19 +70,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, min-hashes) of each content; last, the partition's counters."""
+    """(id, size, marks) of each content, a mark being two min-hashes; last, the partition's counters."""
     counts = np.zeros(_COUNTERS, np.int64)
     schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), *((f"m{r}", pa.int64()) for r in range(_ROUNDS)), ("counts", pa.binary())])
     for batch in batches:
-        sizes, marks = [], [[] for _ in range(_ROUNDS)]
-        for content in batch.column("content"):
-            runs = runs_of(content.as_buffer())
-            h = mixed(runs)
-            sizes.append(len(runs))
-            counts += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=_COUNTERS)
+        runs = [runs_of(c) for c in bytes_of(batch.column("content"))]
+        sizes = np.array([len(x) for x in runs], np.int32)
+        marks = [pa.nulls(len(runs), pa.int64())] * _ROUNDS
+        some = sizes > 0
+        if some.any():
+            h = mixed(np.concatenate(runs))
+            counts += np.bincount((h >> _COUNTER_SHIFT).astype(np.int64), minlength=_COUNTERS)
+            begin = np.cumsum(sizes[some]) - sizes[some]
             for r in range(_ROUNDS):
-                marks[r].append(int(mixed(h, r + 1).min().view(np.int64)) if len(h) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), *(pa.array(m, pa.int64()) for m in marks), pa.nulls(len(sizes), pa.binary())], schema=schema)
+                low = [np.minimum.reduceat(h * np.uint64(2 * i + 3) ^ (h >> np.uint64(2 * i + 9)), begin) for i in (2 * r, 2 * r + 1)]
+                mark = np.zeros(len(runs), np.uint64)
+                mark[some] = mixed(low[0] ^ mixed(low[1]))
+                marks[r] = pa.array(mark.view(np.int64), mask=~some)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *marks, pa.nulls(len(runs), pa.binary())], schema=schema)
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(_ROUNDS)), pa.array([counts.tobytes()])], schema=schema)
 
 
@@ -99,10 +117,10 @@ def measured(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
             def of(i, content):
                 if (got := sets.get(i)) is None:
-                    got = sets[i] = runs_of(content.as_buffer())
+                    got = sets[i] = runs_of(content)
                 return got
 
-            d = [1.0 - similarity(of(a, x), of(b, y)) for a, x, b, y in zip(batch.column("a").to_pylist(), batch.column("content_a"), batch.column("b").to_pylist(), batch.column("content_b"))]
+            d = [1.0 - similarity(of(a, x), of(b, y)) for a, x, b, y in zip(batch.column("a").to_pylist(), bytes_of(batch.column("content_a")), batch.column("b").to_pylist(), bytes_of(batch.column("content_b")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(batch.column(c) for c in kept), pa.array(d, pa.float64())], names=["a", "b", *kept, "d"])
 
     types = dict(pairs.dtypes)
@@ -124,102 +142,116 @@ def _regions(signed: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
 
 
 def _postings(order: np.ndarray, limit: float, parts: int):
-    """Blocks of postings: for each target partition the contents' headers and the 32-bit hashes of their prefix runs.
+    """Blocks of postings: for each target partition the contents' headers and the hashes of their prefix runs.
 
     ``order``: the rank of each counter; with the hash's other bits it orders all runs, the rarer first.
-    ``limit``: similarity that two pivots without a radius must have, less the largest radius.
+    ``limit``: similarity that two pivots without a radius must have, less the largest radius. A content asks
+    with its first n - t n + 1 runs; it is held under its first n - 2t/(1+t) n + 1, as only a content of at
+    least its own size asks for it. Bit 0 of a hash tells whether it is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            radius = batch.column("radius").to_numpy(zero_copy_only=False)
-            ids, sizes, lengths, hashes = batch.column("id").to_numpy(), [], [], []
-            for content, r in zip(batch.column("content"), radius):
-                h = mixed(runs_of(content.as_buffer()))
-                k = len(h) - int(np.ceil((limit - r) * len(h) - _EPS)) + 1 if len(h) else 0
-                if k < len(h):
-                    rank = (order[(h >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (h & np.uint64(0xFFFFFFFFFFFF))
-                    kept = h[np.argpartition(rank, k - 1)[:k]]
-                else:
-                    kept = h
-                sizes.append(len(h))
-                lengths.append(len(kept))
-                hashes.append(kept)
-            every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-            part = ((every & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
+            radius, ids = batch.column("radius").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+            runs = [runs_of(c) for c in bytes_of(batch.column("content"))]
+            size = np.array([len(x) for x in runs], np.int64)
+            t = limit - radius
+            asked = np.maximum(0, size - np.ceil(t * size - _EPS).astype(np.int64) + 1)
+            held = np.minimum(asked, size - np.ceil(2 * t / (1 + t) * size - _EPS).astype(np.int64) + 1)
+            h = mixed(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+            bins = (h >> _COUNTER_SHIFT).astype(np.int64)
+            rank = (order[bins] << _COUNTER_SHIFT) | (h & np.uint64((1 << 46) - 1))
+            begin = np.cumsum(size) - size
+            kept, early = [], []
+            for i, k, m, n in zip(begin.tolist(), asked.tolist(), held.tolist(), size.tolist()):
+                if n:
+                    first = np.sort(rank[i : i + n])[:k]
+                    kept.append(first)
+                    early.append(np.arange(len(first)) < m)
+            ranks = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(ids)), np.minimum(asked, size))
+            # the low 46 bits of a rank are the hash's: 15 for the partition, 31 for the posting
+            part = ((ranks & np.uint64(0x7FFF)) % np.uint64(parts)).astype(np.int64)
+            token = ((ranks >> np.uint64(15)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)
+            token |= (np.concatenate(early) if early else np.zeros(0, bool)).astype(np.uint32)
             at = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[at], np.arange(parts + 1))
-            token = ((every >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            sizes, lengths = np.array(sizes, np.int32), np.array(lengths, np.int32)
             out_part, out_block = [], []
             for p in range(parts):
                 take = at[bounds[p] : bounds[p + 1]]
                 if not len(take):
                     continue
-                who, count = np.unique(owner[take], return_counts=True)  # take is in order of owner
-                head = np.array([len(who), len(take)], np.int64).tobytes()
+                who, count = np.unique(owner[take], return_counts=True)
+                heads = [ids[who], radius[who], size[who].astype(np.int32), asked[who].astype(np.int32), held[who].astype(np.int32), count.astype(np.int32)]
                 out_part.append(p)
-                out_block.append(head + ids[who].tobytes() + radius[who].tobytes() + sizes[who].tobytes() + lengths[who].tobytes() + count.astype(np.int32).tobytes() + token[take].tobytes())
+                out_block.append(np.array([len(who), len(take)], np.int64).tobytes() + b"".join(x.tobytes() for x in heads) + token[take].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int64()), pa.array(out_block, pa.binary())], names=["part", "block"])
 
     return run
 
 
-def _read_block(raw: bytes):
-    n, m = np.frombuffer(raw, np.int64, 2)
-    at = 16
-    out = []
-    for kind, count in ((np.int64, n), (np.float64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint32, m)):
+def _read_block(raw) -> list[np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    at, out = 16, []
+    for kind, count in ((np.int64, n), (np.float64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint32, m)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
     return out
 
 
-def _meet(threshold: float):
-    """One partition of postings: pairs of pivots that share runs, how many, and how many they must share over all partitions."""
+def spans(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all j from low[i] to high[i] - 1, in pieces of about ``most``."""
+    n = high - low
+    ends, start = np.cumsum(n), 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        m = n[start:stop]
+        yield np.repeat(np.arange(start, stop), m), np.repeat(low[start:stop] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        start = stop
+
+
+def _meet(threshold: float, limit: float, parts: int):
+    """One partition of postings: the pairs of pivots (a, b) that may share enough runs, and the distance they may have.
+
+    The larger content (of equal sizes the larger id) asks for those that hold the run; sizes outside the
+    threshold's range are passed over in the sorted list. A pair that shares enough shares at least its mean
+    over the partitions in one of them, so only such pairs are proposed.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = [_read_block(b.as_buffer()) for b in table.column("block")]
-        ids, radius, size, prefix, count = (np.concatenate([b[i] for b in blocks]) for i in range(5))
-        token = np.concatenate([b[5] for b in blocks])
-        owner = np.repeat(np.arange(len(ids), dtype=np.int64), count)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
-        held = 0
-
-        def settle():
-            nonlocal keys, sums, pending, held
-            new, counts = np.unique(np.concatenate(pending), return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([sums, counts])).astype(np.int64)
-            pending, held = [], 0
-
-        left, step = np.arange(len(token)), 0
-        while len(left):
-            step += 1
-            left = left[left + step < len(token)]
-            left = left[token[left] == token[left + step]]
-            a, b = owner[left], owner[left + step]
-            need = np.maximum(threshold - radius[a] - radius[b], 0.0)
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            ok = (a != b) & (small >= need * large - _EPS)
-            a, b = a[ok], b[ok]
-            if len(a):
-                swap = ids[a] > ids[b]
-                pending.append(np.where(swap, b, a) * len(ids) + np.where(swap, a, b))
-                held += len(a)
-                if held > 8_000_000:
-                    settle()
-        if pending:
-            settle()
-        a, b = keys // max(1, len(ids)), keys % max(1, len(ids))
-        t = np.maximum(threshold - radius[a] - radius[b], 0.0)
-        shared = np.ceil(t / (1 + t) * (size[a].astype(np.float64) + size[b]) - _EPS)
-        must = np.maximum(1, shared - np.maximum(size[a] - prefix[a], size[b] - prefix[b])).astype(np.int64)
-        return pa.table({"a": ids[a], "b": ids[b], "shared": sums, "must": must, "limit": 1.0 - t})
+        blocks = [_read_block(memoryview(b.as_buffer())) for b in table.column("block")]
+        ids, radius, size, asked, held, count = (np.concatenate([b[i] for b in blocks]) for i in range(6))
+        token = np.concatenate([b[6] for b in blocks])
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+        del blocks
+        is_held = (token & np.uint32(1)) > 0
+        token = (token >> np.uint32(1)).astype(np.int64) << 32
+        shelf, shelf_owner = (token | size[owner])[is_held], owner[is_held]
+        sort = np.argsort(shelf)
+        shelf, shelf_owner = shelf[sort], shelf_owner[sort]
+        t = limit - radius
+        least = np.ceil(t * size - _EPS).astype(np.int64)
+        end = np.cumsum(count)
+        out: list[tuple] = []
+        for first in range(0, len(ids), _BLOCK):
+            last = min(first + _BLOCK, len(ids))
+            mine = slice(end[first] - count[first], end[last - 1])
+            who, key = owner[mine], token[mine]
+            low = np.searchsorted(shelf, key | least[who], "left")
+            high = np.searchsorted(shelf, key | size[who], "right")
+            found = [np.zeros(0, np.int64)]
+            for i, j in spans(low, high):
+                a, b = who[i], shelf_owner[j]
+                ok = (size[b] < size[a]) | (ids[b] < ids[a])
+                found.append((a[ok].astype(np.int64) - first) * len(ids) + b[ok])
+            pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+            a, b = pairs // len(ids) + first, pairs % len(ids)
+            t_ab = np.maximum(threshold - radius[a] - radius[b], 0.0)
+            both = np.ceil(t_ab / (1 + t_ab) * (size[a].astype(np.float64) + size[b]) - _EPS)
+            must = np.maximum(1, both - np.maximum(size[a] - asked[a], size[b] - held[b])).astype(np.int64)
+            ok = (shared * parts >= must) & (size[b] >= t_ab * size[a] - _EPS)
+            out.append((ids[a[ok]], ids[b[ok]], 1.0 - t_ab[ok]))
+        return pa.table([np.concatenate(x) for x in zip(*out)], names=["a", "b", "limit"])
 
     return run
 
@@ -246,10 +278,10 @@ def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7,
     radius = members.groupBy(F.col("pivot").alias("id")).agg(F.max("d").alias("radius"))
     largest = members.agg(F.max("d")).first()[0] or 0.0
     pivots = contents.join(members.select("id"), "id", "left_anti").join(radius, "id", "left").select("id", "content", F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    parts = min(tasks_for(spark, laid.count(), 20_000), 1 << 16)
+    parts = min(tasks_for(spark, laid.count(), 20_000), 1 << 15)
     blocks = pivots.mapInArrow(_postings(order, threshold - largest, parts), "part long, block binary")
-    met = blocks.groupBy("part").applyInArrow(_meet(threshold), "a long, b long, shared long, must long, limit double")
-    met = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("must").alias("must"), F.max("limit").alias("limit")).filter("shared >= must").select("a", "b", "limit")
+    met = blocks.groupBy("part").applyInArrow(_meet(threshold, threshold - largest, parts), "a long, b long, limit double")
+    met = met.dropDuplicates(["a", "b"])
     windows = materialize(measured(met, contents).filter(F.col("d") <= F.col("limit") + _EPS).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("d").alias("gap")), "windows")
     close = 1.0 - threshold
     inside = members.select(F.col("pivot").alias("p")).distinct().select("p", F.col("p").alias("q"), F.lit(0.0).alias("gap"))
