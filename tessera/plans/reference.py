@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import addressed, changesets, chunking, provenance, ranking, sketches, social_state, validation
+from tessera.operators import addressed, changesets, chunking, provenance, ranking, sketches, social_state, store, transcode, validation
 from tessera.plans.core_problems import table
+from tessera.sources import tables
 
 _SIZES = chunking.ChunkSizes(64, 256, 1024)
 _RANK = ranking.RankParams(as_of="2019-04-15T00:00:00.000Z", affinity={"weather": 400, "local-news": 300, "archives": 200}, followed=tuple(f"author:morholt-{i}" for i in range(1, 40)), consecutive=2, limit=100)
@@ -323,4 +324,62 @@ def history_chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.chain_gaps(_stories(spark, sf_dir))
 
 
+_STORE = store.StoreParams(sizes=_SIZES)
+
+
+def _store(spark, sf_dir):
+    return store.ingest(tables.blobs_from_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), _STORE)
+
+
+@_query()
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir)[0].select("digest", "length", "kind", "reference_digest", "stored_bytes", "chain_depth", "standalone_baseline_bytes")
+
+
+@_query()
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.stats(*_store(spark, sf_dir))
+
+
+@_query()
+def store_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.depth_histogram(_store(spark, sf_dir)[0], _STORE.depth)
+
+
+@_query("select cast(doc_id as varchar) blob_id, sha256(text) digest from documents where text is not null and text <> ''")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text read back from the store."""
+    records, manifest = _store(spark, sf_dir)
+    return addressed.reassembled(manifest, store.resolved(records, _STORE), "blob_id").select("blob_id", F.sha2("content", 256).alias("digest"))
+
+
+def _documents(spark, sf_dir):
+    """Operations as JSON documents, and the events' properties, which are not in canonical form."""
+    ops = table(spark, sf_dir, "social_ops").select(F.concat(F.lit("op"), "delivery_id").alias("id"), F.encode(F.to_json(F.struct("actor", "created_at", "object_id", "op_id", "op_sequence", "op_type")), "UTF-8").alias("document"))
+    return ops.unionByName(table(spark, sf_dir, "events").select(F.concat(F.lit("ev"), "event_id").alias("id"), F.encode("props", "UTF-8").alias("document")))
+
+
+@_query()
+def container_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents are typed or kept plain, and the bytes before and after."""
+    d = _documents(spark, sf_dir).withColumn("container", F.col("document"))
+    return transcode.transcoded(d, "container").groupBy(transcode.mode(F.col("container")).alias("mode")).agg(F.count("*").alias("n"), F.sum(F.octet_length("document")).alias("bytes_in"), F.sum(F.octet_length("container")).alias("bytes_out"))
+
+
+@_query("select 'ev' || event_id id, sha256(props) digest from events union all select 'op' || delivery_id, sha256('{\"actor\":\"' || actor || '\",\"created_at\":\"' || created_at || '\",\"object_id\":\"' || object_id || '\",\"op_id\":\"' || op_id || '\",\"op_sequence\":' || op_sequence || ',\"op_type\":\"' || op_type || '\"}') from social_ops")
+def transcode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = transcode.transcoded(_documents(spark, sf_dir), "document")
+    return transcode.transcoded(there, "document", back=True).select("id", F.sha2("document", 256).alias("digest"))
+
+
+@_query("select change_header.space_id space_id, count(*) rows_opened from changes where change_header.space_id is not null group by 1")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries of every space sealed as one snapshot and opened again."""
+    key = F.unhex(F.sha2(F.lit(b"a key for checking"), 256))
+    c = table(spark, sf_dir, "changes").select(F.col("change_header.space_id").alias("space_id"), "delivery_id", "change_id").filter("space_id is not null")
+    iv = F.substring(F.unhex(F.sha2(F.encode("space_id", "UTF-8"), 256)), 1, 12)
+    snapshots = tables.sealed(c, "space_id", "delivery_id", F.col("change_id"), key, iv)
+    return tables.opened(snapshots, "space_id", key).groupBy("space_id").agg(F.count("*").alias("rows_opened"))
+
+
 QUERIES = dict(_QUERIES)
