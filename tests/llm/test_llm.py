@@ -131,6 +131,15 @@ def test_fingerprints(n):
         assert len(got) == (1 if n >= 8 else 0)
 
 
+def test_batch_fingerprints_equal_those_of_each_content():
+    rng = random.Random(6)
+    contents = [rng.randbytes(n) for n in (0, 3, 8, 20, 24, 34, 35, 36, 0, 400, 35, 500)] + [b"ab" * 200, b"", b"same content, twice over " * 3] * 2
+    flat, owner = history.batch_fingerprints(contents)
+    for i, c in enumerate(contents):
+        assert flat[owner == i].tolist() == sorted(history.fingerprints(c).tolist())
+    assert len(history.batch_fingerprints([])[0]) == len(history.batch_fingerprints([b"ab", b""])[0]) == 0
+
+
 @pytest.mark.parametrize("capacity", [1, 7, 64, 256])
 def test_packing(spark, capacity):
     rng = random.Random(capacity)
