@@ -6,6 +6,7 @@ import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -62,7 +63,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path  # for discard()
     gc.collect()
-    df.sparkSession._jvm.System.gc()  # shuffle files of finished work go once the driver's garbage is collected
+    df.sparkSession._jvm.System.gc()  # shuffle files of finished work go once the driver's garbage is collected,
+    time.sleep(0.2)  # by the cleaner thread, which looks every 0.1 s
     return out
 
 
