@@ -134,6 +134,7 @@ def _regions(signed: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
         mark = f"m{r}"
         groups = free.groupBy(mark).agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select(mark, "pivot")
         near = free.join(groups, mark).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        near = materialize(near, "candidates")  # a table of known size: where it is small, contents are not shuffled
         near = materialize(measured(near, contents).filter(F.col("d") <= reach).select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d"), "members")
         found = near if found is None else found.unionByName(near)
         if r + 1 < _ROUNDS:
@@ -280,8 +281,9 @@ def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7,
     pivots = contents.join(members.select("id"), "id", "left_anti").join(radius, "id", "left").select("id", "content", F.coalesce("radius", F.lit(0.0)).alias("radius"))
     parts = min(tasks_for(spark, laid.count(), 20_000), 1 << 15)
     blocks = pivots.mapInArrow(_postings(order, threshold - largest, parts), "part long, block binary")
+    blocks = blocks.repartition(max(parts, 201), "part")  # a task a part; over 200 partitions are written in one pass, not first to a file each
     met = blocks.groupBy("part").applyInArrow(_meet(threshold, threshold - largest, parts), "a long, b long, limit double")
-    met = met.dropDuplicates(["a", "b"])
+    met = materialize(met.dropDuplicates(["a", "b"]), "met")  # so that the postings are gone before contents are shuffled
     windows = materialize(measured(met, contents).filter(F.col("d") <= F.col("limit") + _EPS).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("d").alias("gap")), "windows")
     close = 1.0 - threshold
     inside = members.select(F.col("pivot").alias("p")).distinct().select("p", F.col("p").alias("q"), F.lit(0.0).alias("gap"))
