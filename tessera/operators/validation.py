@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import time_ms
 
-# Prefixes, kinds and bounds of the record formats.
-ID = r"^%s:v1:u[A-Za-z0-9_-]{43}$"
+# The form of identifiers, kinds and bounds of the record formats.
+ID = r"^[a-z]+:v1:u[A-Za-z0-9_-]{43}$"
 OP_TYPES = ("profile.field.set", "post.block.set", "post.block.delete", "edge.add", "edge.remove", "object.tombstone")
 MOST_PARENTS, MOST_TOPICS, MOST_SCORE = 32, 32, 1000
 
@@ -29,7 +29,7 @@ def sorted_unique(ids: Column, most: int) -> Column:
 def change_violation() -> Column:
     h = F.col("change_header")
     return _first(
-        (F.col("change_id").rlike(ID % "wokechange"), "invalid_change_id"), (h["space_id"].rlike(ID % "wokespace"), "invalid_id"), (h["author"].rlike(ID % "wokeid"), "invalid_id"),
+        (F.col("change_id").rlike(ID), "invalid_change_id"), (h["space_id"].rlike(ID), "invalid_id"), (h["author"].rlike(ID), "invalid_id"),
         (time_ms(h["created_at"]).isNotNull(), "invalid_time"), (sorted_unique(h["parents"], MOST_PARENTS), "invalid_parents"), (~F.array_contains(h["parents"], F.col("change_id")), "missing_or_cyclic_parent"),
     )
 
@@ -37,7 +37,7 @@ def change_violation() -> Column:
 def operation_violation() -> Column:
     p, kind = F.col("payload"), F.col("op_type")
     return _first(
-        (F.col("op_id").rlike(ID % "wokeop"), "invalid_op_id"), (F.col("actor").rlike(ID % "wokeid"), "invalid_actor"), (F.col("op_sequence") >= 0, "invalid_sequence"), (time_ms(F.col("created_at")).isNotNull(), "invalid_time"),
+        (F.col("op_id").rlike(ID), "invalid_op_id"), (F.col("actor").rlike(ID), "invalid_actor"), (F.col("op_sequence") >= 0, "invalid_sequence"), (time_ms(F.col("created_at")).isNotNull(), "invalid_time"),
         (kind.isin(*OP_TYPES), "invalid_type"), ((kind != "profile.field.set") | p["field_name"].isNotNull(), "invalid_profile"), (~kind.startswith("post.block.") | p["block_id"].isNotNull(), "invalid_block"),
         ((kind != "edge.add") | (p["subject_id"].isNotNull() & p["target_id"].isNotNull()), "invalid_edge"), ((kind != "edge.remove") | (F.size(p["observed_add_ids"]) > 0), "invalid_edge_remove"), ((kind != "object.tombstone") | p["reason_code"].isNotNull(), "invalid_tombstone"),
     )
