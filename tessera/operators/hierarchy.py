@@ -12,12 +12,16 @@ quotient graph can place is on a cycle across fragments or below one.
 A node whose exits grow past a bound becomes a node of the quotient graph itself, so a fragment's summary stays
 proportional to its edges. Work and memory of a task follow its fragment, whose size bounds the number of
 fragments; a parent with a third of all nodes as children is one row of the key side of one join.
+
+All ancestors (closure) go the same way with sets of ids in place of ways: an entry keeps those inside that it
+reaches without another entry, and its entries and exits are its edges in the quotient graph.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +32,15 @@ from tessera.session import discard, materialize, tasks_for
 _ROWS = "frag long, kind string, a long, b long, w long, label string, path array<string>"
 _SOLVED = "a long, w long, label string, path array<string>"
 _NAMES = ["frag", "kind", "a", "b", "w", "label", "path"]
+#: kind as above ('n': above = the ancestors known so far, label = its id; 'x': above = all of them), 'u' id of an ancestor of an exit (a, label)
+_CLOSURE_ROWS = "frag long, kind string, a long, b long, label string, above array<long>"
+_CLOSED = "a long, above array<long>"
 #: nid = fragment * 2**33 + position, as monotonically_increasing_id() gives.
 _FRAGMENT_BITS = 33
 #: A node with more exits than this is kept in the quotient graph.
 _MOST_EXITS = 16
+#: Pairs of about one output batch.
+_PAIRS = 100_000
 CYCLE = "cycle"
 
 
@@ -222,6 +231,17 @@ def _place(rows: DataFrame, level: int, fits: int, total: int, paths: bool, fine
     return rows.unionByName(exits).groupBy("frag").applyInArrow(_solve(paths), _SOLVED)
 
 
+def _laid_out(nodes: DataFrame, place: Sequence[str], nodes_per_fragment: int) -> tuple[DataFrame, DataFrame, int]:
+    """The distinct nodes (a, node_id, parents) in fragments, their links (a, parent), and the number of fragments."""
+    parents = F.coalesce("parents", F.array().cast("array<string>"))
+    one = nodes.filter("node_id is not null").groupBy("node_id").agg(F.array_distinct(F.flatten(F.collect_set(parents))).alias("parents"), *[F.min(c).alias(f"place_{i}") for i, c in enumerate(place)])
+    fragments = tasks_for(nodes.sparkSession, nodes.count(), nodes_per_fragment)
+    laid = one.repartitionByRange(fragments, *[f"place_{i}" for i in range(len(place))], "node_id").select(F.monotonically_increasing_id().alias("a"), "node_id", "parents")
+    laid = materialize(laid, "nodes")
+    links = laid.select("a", F.explode("parents").alias("parent")).filter("parent is not null")
+    return laid, links, fragments
+
+
 def resolve(nodes: DataFrame, place: Sequence[str] = (), with_path: bool = False, nodes_per_fragment: int = 50_000, fits: int = 400_000) -> DataFrame:
     """(node_id, root_id, node_depth, path) per distinct node.
 
@@ -233,13 +253,7 @@ def resolve(nodes: DataFrame, place: Sequence[str] = (), with_path: bool = False
     runs from a root to the node along a longest way, of several the one whose ids read upwards are smallest;
     null at cycles. ``fits``: nodes and edges one task may solve at the end.
     """
-    spark = nodes.sparkSession
-    parents = F.coalesce("parents", F.array().cast("array<string>"))
-    one = nodes.filter("node_id is not null").groupBy("node_id").agg(F.array_distinct(F.flatten(F.collect_set(parents))).alias("parents"), *[F.min(c).alias(f"place_{i}") for i, c in enumerate(place)])
-    fragments = tasks_for(spark, nodes.count(), nodes_per_fragment)
-    laid = one.repartitionByRange(fragments, *[f"place_{i}" for i in range(len(place))], "node_id").select(F.monotonically_increasing_id().alias("a"), "node_id", "parents")
-    laid = materialize(laid, "nodes")
-    links = laid.select("a", F.explode("parents").alias("parent")).filter("parent is not null")
+    laid, links, fragments = _laid_out(nodes, place, nodes_per_fragment)
     edges = materialize(links.join(laid.select(F.col("a").alias("b"), F.col("node_id").alias("parent")), "parent").select("a", "b", *(["parent"] if with_path else [])), "edges")
     null_long, null_path = F.lit(None).cast("long"), F.lit(None).cast("array<string>")
     rows = laid.select(F.lit("n").alias("kind"), "a", null_long.alias("b"), null_long.alias("w"), F.col("node_id").alias("label"), null_path.alias("path"))
@@ -249,10 +263,140 @@ def resolve(nodes: DataFrame, place: Sequence[str] = (), with_path: bool = False
     return laid.select("a", "node_id").join(values, "a").select("node_id", F.col("label").alias("root_id"), F.coalesce("w", F.lit(-1).cast("long")).alias("node_depth"), (up if with_path else null_path).alias("path"))
 
 
+class _Above(_Fragment):
+    """The rows of one fragment, for sets of ancestors; a set is a number with a bit for each id of the fragment."""
+
+    def __init__(self, table: pa.Table):
+        self.nodes: dict[int, np.ndarray] = {}
+        self.exits: dict[int, np.ndarray] = {}
+        self.up: dict[int, list] = {}
+        self.entries: set[int] = set()
+        named: dict[int, str] = {}
+        for kind, a, b, label, above in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "label")), table.column("above")):
+            if kind == "e":
+                self.up.setdefault(a, []).append((b, None, None))
+            elif kind == "k":
+                self.entries.add(a)
+            else:
+                if kind != "u":
+                    (self.nodes if kind == "n" else self.exits)[a] = above.values.to_numpy() if above.is_valid else np.zeros(0, np.int64)
+                if label is not None:
+                    named[a] = label
+        known = [np.array([*self.nodes, *self.exits, *(p for up in self.up.values() for p, _, _ in up)], np.int64)]
+        self.ids = np.unique(np.concatenate([*known, *self.nodes.values(), *self.exits.values()]))
+        self.bit = {v: 1 << i for i, v in enumerate(self.ids.tolist())}
+        self.names = pa.array([named.get(v) for v in self.bit], pa.string())
+
+    def mask(self, ids: np.ndarray) -> int:
+        if not len(ids):
+            return 0
+        bits = np.zeros(len(self.ids), np.uint8)
+        bits[np.searchsorted(self.ids, ids)] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def places(self, mask: int) -> np.ndarray:
+        """Where in ``ids`` the members of a set are."""
+        return np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(len(self.ids) // 8 + 1, "little"), np.uint8), bitorder="little"))
+
+    def all_above(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, where its ancestors are), the exits' being known."""
+        done = {x: self.mask(above) for x, above in self.exits.items()}
+        for v in self.order():
+            mask = self.mask(self.nodes[v])
+            for p, _, _ in self.up.get(v, ()):
+                mask |= self.bit[p] | done[p]
+            done[v] = mask
+            yield v, self.places(mask)
+
+
+def _contracted(table: pa.Table) -> pa.Table:
+    """Rows of the quotient graph of a fragment: each entry with the ancestors it reaches inside before another entry or an exit, and those as its edges."""
+    f = _Above(table)
+    inside: dict[int, tuple[int, int]] = {}
+    out: list[tuple] = []
+    for v in f.order():
+        own, ways = f.mask(f.nodes[v]), 0
+        for p, _, _ in f.up.get(v, ()):
+            if p not in f.nodes or p in f.entries:
+                ways |= f.bit[p]
+            else:
+                own |= f.bit[p] | inside[p][0]
+                ways |= inside[p][1]
+        inside[v] = own, ways
+        if v in f.entries:
+            out.append(("n", v, None, None, f.ids[f.places(own)]))
+            out.extend(("e", v, x, None, None) for x in f.ids[f.places(ways)].tolist())
+    columns = list(zip(*out)) or [()] * 5
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "label", "above"])
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All ancestors of every node of a fragment, one row a node."""
+    f = _Above(pa.Table.from_batches(list(batches)))
+    for v, places in f.all_above():
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()), pa.array([f.ids[places]], pa.list_(pa.int64()))], names=["a", "above"])
+
+
+def _closed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same by names, one row a pair."""
+    f = _Above(pa.Table.from_batches(list(batches)))
+    above, below, n = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        of = np.repeat(np.searchsorted(f.ids, below), [len(x) for x in above])
+        return pa.RecordBatch.from_arrays([f.names.take(pa.array(np.concatenate(above))), f.names.take(pa.array(of))], names=["node_id", "descendant"])
+
+    for v, places in f.all_above():
+        above.append(places)
+        below.append(v)
+        n += len(places)
+        if n >= _PAIRS:
+            yield batch()
+            above, below, n = [], [], 0
+    if n:
+        yield batch()
+
+
+def _close(rows: DataFrame, level: int, fits: int, total: int, finest: int) -> DataFrame:
+    """Ancestors (_CLOSED) of all nodes of a graph without cycles, given as rows of kind n and e; at level 0 the pairs by name."""
+    if level and (total <= fits or (finest >> (3 * level)) == 0):
+        return rows.withColumn("frag", F.lit(0).cast("long")).groupBy("frag").applyInArrow(_closed, _CLOSED)
+    rows = rows.withColumn("frag", _coarse("a", level))
+    across = rows.filter((F.col("kind") == "e") & (F.col("frag") != _coarse("b", level))).select("frag", F.col("b").alias("a")).distinct()
+    null_long, null_name, null_above = F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<long>").alias("above")
+    entries = across.select("a").distinct().select(_coarse("a", level).alias("frag"), F.lit("k").alias("kind"), "a", null_long, null_name, null_above)
+    quotient = materialize(rows.unionByName(entries).groupBy("frag").applyInArrow(_contracted, _CLOSURE_ROWS.replace("frag long, ", "")), "quotient")
+    values = _close(quotient, level + 1, fits, quotient.count(), finest)
+    exits = across.join(values, "a").select("frag", F.lit("x").alias("kind"), "a", null_long, null_name, "above")
+    if level:
+        return rows.unionByName(exits).groupBy("frag").applyInArrow(_closed, _CLOSED)
+    exits = materialize(exits, "exits")
+    named = exits.select("frag", F.explode(F.concat(F.array("a"), "above")).alias("a")).distinct().join(rows.filter("kind = 'n'").select("a", "label"), "a").select("frag", F.lit("u").alias("kind"), "a", null_long, "label", null_above)
+    return rows.unionByName(exits).unionByName(named).groupBy("frag").applyInArrow(_closed_pairs, "node_id string, descendant string")
+
+
+def all_descendants(nodes: DataFrame, place: Sequence[str] = (), nodes_per_fragment: int = 50_000, fits: int = 400_000) -> DataFrame:
+    """(node_id, descendant): the distinct pairs of every node and each node below it, by whichever of its parents.
+
+    ``nodes`` and the other arguments as for resolve(). Nodes at cycles have no ancestors here, as they have no path.
+    """
+    laid, links, fragments = _laid_out(nodes, place, nodes_per_fragment)
+    edges = materialize(links.join(laid.select(F.col("a").alias("b"), F.col("node_id").alias("parent")), "parent").select("a", "b"), "edges")
+    null_long, null_name, null_path = F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    rows = laid.select(F.lit("n").alias("kind"), "a", null_long.alias("b"), null_long.alias("w"), F.col("node_id").alias("label"), null_path.alias("path"))
+    rows = rows.unionByName(edges.select(F.lit("e").alias("kind"), "a", "b", F.lit(1).cast("long").alias("w"), null_name.alias("label"), null_path.alias("path")))
+    placed = materialize(_place(rows, 0, fits, 1 << 62, False, fragments).filter("w is not null").select("a"), "placed")
+    null_above = F.lit(None).cast("array<long>").alias("above")
+    kept = laid.join(placed, "a").select(F.lit("n").alias("kind"), "a", null_long.alias("b"), F.col("node_id").alias("label"), null_above)
+    kept = kept.unionByName(edges.join(placed, "a").select(F.lit("e").alias("kind"), "a", "b", null_name.alias("label"), null_above))
+    return _close(materialize(kept, "placed"), 0, fits, 1 << 62, fragments)
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
     """(node_id, descendant, distance) for every node above another on its path, from resolve(with_path=True).
 
-    In a forest these are all descendants; nodes at cycles have none. One row per pair, as many as the paths
+    In a forest these are all descendants, else see all_descendants; nodes at cycles have none. One row per pair, as many as the paths
     have nodes.
     """
     above = resolved.filter("path is not null").select(F.col("node_id").alias("descendant"), "node_depth", F.posexplode("path").alias("pos", "node_id"))

@@ -41,6 +41,21 @@ def _story_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve(stories, ["family", "nth"], with_path=True)
 
 
+def _change_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "changes").select(F.col("change_id").alias("node_id"), F.col("change_header.parents").alias("parents"), F.col("change_header.space_id").alias("family"), F.col("delivery_id").alias("nth"))
+
+
+def p4_change_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest path of every change that has one."""
+    found = hierarchy.resolve(_change_nodes(spark, sf_dir), ["family", "nth"], with_path=True)
+    return found.filter("path is not null").select("node_id", "node_depth", F.array_join("path", "/").alias("full_path"))
+
+
+def p4_change_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every change, by whichever of their parents."""
+    return hierarchy.all_descendants(_change_nodes(spark, sf_dir), ["family", "nth"])
+
+
 def p4_story_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full path of every story that has one."""
     return _story_paths(spark, sf_dir).filter("path is not null").select("node_id", "node_depth", F.array_join("path", "/").alias("full_path"))
@@ -65,7 +80,7 @@ def p7_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.count_by_period(_bad_references(spark, sf_dir), 30)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_story_paths, p4_story_descendants, p7_found, p7_by_period)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_story_paths, p4_story_descendants, p4_change_paths, p4_change_descendants, p7_found, p7_by_period)}
 
 _ORDERED = "partition by {} order by op_sequence desc nulls last, created_at desc nulls last, op_id desc nulls last"
 
@@ -117,6 +132,11 @@ pairs as (select child node_id, parent anc, 1::bigint distance from edges where
 select anc node_id, node_id descendant, distance from pairs
 """
 
+_P4_CHANGE_DESCENDANTS = f"""
+with recursive {_GRAPH}
+select anc node_id, child descendant from above where k = 'change' and (k, child) not in (select (k, child) from doomed)
+"""
+
 _BAD = """
 refs as (
   select distinct 'changes' src_table, 'c' pt, change_id from_key, unnest(change_header.parents) to_key from changes
@@ -141,6 +161,7 @@ SQL = {
     "p4_found": _P4,
     "p4_story_paths": _P4_PATHS,
     "p4_story_descendants": _P4_DESCENDANTS,
+    "p4_change_descendants": _P4_CHANGE_DESCENDANTS,
     "p7_found": f"with {_BAD} select src_table, from_key, to_key, ref_state from bad where ref_state is not null",
     "p7_by_period": f"with {_BAD} select src_table, cast(floor(fb / 30) as bigint) period, ref_state, count(*) n from bad where ref_state is not null group by all",
 }

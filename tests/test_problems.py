@@ -90,6 +90,32 @@ def test_hierarchy(spark, seed, fits):
             assert r.path[-1] == r.node_id and len(r.path) == r.node_depth + 1 and all(a in parents[b] for a, b in zip(r.path, r.path[1:]))
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("fits", [2, 100000])
+def test_descendants_of_nodes_with_several_parents(spark, seed, fits):
+    rng = random.Random(seed + 10)
+    ids = [f"n{i:03d}" for i in range(90)]
+    parents = {n: sorted(set(rng.sample(ids[max(0, i - 15) : i], min(i, rng.choice([0, 1, 2, 2, 3]))))) for i, n in enumerate(ids)}
+    if seed:
+        parents[ids[20]], parents[ids[25]], parents[ids[70]] = [ids[25]], [ids[20]], [ids[70]]
+
+    def above(n, seen=()):
+        return {"!"} if n in seen else set(parents[n]).union(*(above(p, (*seen, n)) for p in parents[n]))
+
+    def longest(n):  # upwards, of several the smallest
+        return [n, *min((longest(p) for p in parents[n]), key=lambda x: (-len(x), x))] if parents[n] else [n]
+
+    ancestors = {n: above(n) for n in ids}
+    placed = [n for n in ids if "!" not in ancestors[n]]
+    df = spark.createDataFrame([(n, [*p, None, "unknown"], rng.randrange(9), 1) for n, p in parents.items()] + [(None, ["n001"], 0, 1), (ids[4], None, 0, 1)], "node_id string, parents array<string>, nth long, descendant int")
+    got = sorted((r.node_id, r.descendant) for r in hierarchy.all_descendants(df, ["nth"], nodes_per_fragment=8, fits=fits).collect())
+    assert got == sorted((a, n) for n in placed for a in ancestors[n])
+    paths = hierarchy.resolve(df, ["nth"], with_path=True, nodes_per_fragment=8, fits=fits).filter("path is not null")
+    assert len(got) > hierarchy.descendants(paths).count()
+    assert {r.node_id: r.path for r in paths.collect()} == {n: longest(n)[::-1] for n in placed}
+    assert hierarchy.all_descendants(df.limit(0), ["nth"]).count() == 0
+
+
 def test_long_chain_and_descendants(spark):
     n = 300
     df = spark.createDataFrame([(f"{i:04d}", [f"{i - 1:04d}"] if i else [], i) for i in range(n)], "node_id string, parents array<string>, nth long")
