@@ -119,6 +119,26 @@ def test_history(spark):
     assert history.History(spark, path).add(content.limit(0), named.limit(0)).count() == 0
 
 
+def test_history_finds_every_near_pair_of_short_and_patched_contents(spark):
+    rng = random.Random(8)
+    docs = []
+    for k, n in enumerate([8, 12, 16, 20, 23, 24, 26, 28, 30, 32, 34, 35, 40, 50] * 8):
+        base = rng.randbytes(n)
+        docs += [(f"a{k:03d}", base), (f"b{k:03d}", base + rng.randbytes(1)), (f"c{k:03d}", rng.randbytes(1) + base)]
+    for k in range(30):  # an edit in every 46 bytes, and halves that many others have too
+        base = rng.randbytes(46 * rng.randrange(2, 12))
+        docs += [(f"d{k:03d}", base), (f"e{k:03d}", b"".join(base[i : i + 45] + bytes([base[i + 45] ^ 1]) for i in range(0, len(base), 46)))]
+    common = rng.randbytes(300)
+    docs += [(f"f{k:03d}", common + rng.randbytes(rng.choice([60, 100, 300]))) for k in range(40)]
+    pairs = true_pairs(docs)
+    rows = [(rng.randrange(6), k, d) for k, d in docs]
+    content, none = spark.createDataFrame(rows, "batch long, digest string, content binary"), spark.createDataFrame([], "batch long, digest string")
+    path, got = scratch_path(spark, "test-history"), set()
+    for low, high in ((0, 2), (3, 4), (5, 5)):
+        got |= {(r.batch, r.digest) for r in history.History(spark, path).add(content.filter(F.col("batch").between(low, high)), none).collect()}
+    assert got == known(rows, pairs) and len(pairs) > 300
+
+
 @pytest.mark.parametrize("n", [0, 3, 8, 20, 24, 30, 35, 36, 400])
 def test_fingerprints(n):
     data = random.Random(n).randbytes(n)
