@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.u32 import np_mix32, words
+from tessera.session import materialize
 
 # Seeds of the window table, of the strata and of the band keys.
 TABLE_SEED, STRATUM_SALT, BAND_SEED = 0x574B5344, 0x574B5354, 0x574B4244
@@ -141,7 +142,7 @@ def search(probes: DataFrame, index: DataFrame, p: SketchParams = SketchParams()
 
     Both sides: id, seq (order of arrival), features. Candidates share a band key and are not the probe
     itself; the first ``candidates`` by band and arrival are scored; those of at least ``least`` are ordered by
-    estimate and id. ``earlier_only`` takes candidates that arrived before the probe.
+    estimate and id and the first ``limit`` returned; all_matches() has no such bounds. ``earlier_only`` takes candidates that arrived before the probe.
     """
     a = band_keys(probes, p, ("id", "seq")).select(F.col("id").alias("probe"), F.col("seq").alias("probe_seq"), "band", "band_key")
     b = band_keys(index, p, ("id", "seq")).select(F.col("id").alias("match"), F.col("seq").alias("match_seq"), "band_key")
@@ -154,3 +155,20 @@ def search(probes: DataFrame, index: DataFrame, p: SketchParams = SketchParams()
     scored = kept.join(probes.select(F.col("id").alias("probe"), F.col("features").alias("fa")), "probe").join(index.select(F.col("id").alias("match"), F.col("features").alias("fb")), "match").select("probe", "match", jaccard(F.col("fa"), F.col("fb")).alias("jaccard")).filter(F.col("jaccard") >= q.least)
     place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("jaccard"), "match"))
     return scored.withColumn("place", place).filter(F.col("place") <= q.limit)
+
+
+def all_matches(probes: DataFrame, index: DataFrame, p: SketchParams = SketchParams(), least: float = 0.25) -> DataFrame:
+    """(probe, match, jaccard): every pair of a probe and another row of the index that share a band key and have an estimate of at least ``least``.
+
+    Both sides: id, features. Nothing is capped: rows of equal features are searched and scored once, by their smallest id,
+    and every candidate is scored; then all rows of the two groups pair up. Equal rows have estimate 1; empty sketches have no matches.
+    """
+    sides = probes.select("id", "features", F.lit(True).alias("asks")).unionByName(index.select("id", "features", F.lit(False).alias("asks"))).filter(F.size("features") > 0)
+    groups = materialize(sides.groupBy("features").agg(F.min("id").alias("group"), F.max("asks").alias("asks"), F.max(~F.col("asks")).alias("held")), "sketch_groups")
+    members = materialize(sides.join(groups.select("features", "group"), "features").select("id", "group", "asks").distinct(), "sketch_members")
+    keys = band_keys(groups.select(F.col("group").alias("id"), "features"), p)
+    keys = materialize(keys.join(groups.select(F.col("group").alias("id"), "asks", "held"), "id").select("id", "band_key", "asks", "held"), "sketch_keys")
+    met = keys.filter("asks").select(F.col("id").alias("ga"), "band_key").join(keys.filter("held").select(F.col("id").alias("gb"), "band_key"), "band_key").select("ga", "gb").distinct()
+    scored = met.join(groups.select(F.col("group").alias("ga"), F.col("features").alias("fa")), "ga").join(groups.select(F.col("group").alias("gb"), F.col("features").alias("fb")), "gb").select("ga", "gb", jaccard(F.col("fa"), F.col("fb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    asking, held = members.filter("asks").select(F.col("group").alias("ga"), F.col("id").alias("probe")), members.filter(~F.col("asks")).select(F.col("group").alias("gb"), F.col("id").alias("match"))
+    return scored.join(asking, "ga").join(held, "gb").filter("probe <> match").select("probe", "match", "jaccard")

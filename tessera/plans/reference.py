@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.operators import addressed, changesets, chunking, provenance, ranking, sketches, social_state, store, transcode, validation
 from tessera.plans.core_problems import table
+from tessera.session import materialize
 from tessera.sources import tables
 
 _SIZES = chunking.ChunkSizes(64, 256, 1024)
@@ -125,9 +126,9 @@ def lsh_band_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def lsh_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document with an id divisible by 20, its matches among the others."""
-    s = _sketches(spark, sf_dir)
-    return sketches.search(s.filter("id % 20 = 0"), s)
+    """Of every document with an id divisible by 20, all its matches among the others."""
+    s = materialize(_sketches(spark, sf_dir), "sketches")
+    return sketches.all_matches(s.filter("id % 20 = 0"), s)
 
 
 @_query("select string_class, count(*) n from (select case when regexp_matches(s, '^(0|[1-9][0-9]{0,15})$') and try_cast(s as bigint) <= 9007199254740991 then 'integer' when regexp_matches(s, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{3}Z$') then 'timestamp' when regexp_matches(s, '^[^:]+(:[^:]*)*:(u[A-Za-z0-9_-]{43})$') then 'composite' else 'text' end string_class from (select created_at s from social_ops union all select op_id from social_ops union all select op_sequence::varchar from social_ops)) group by 1")

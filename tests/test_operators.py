@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -97,3 +98,25 @@ def test_frame_stream(spark, tmp_path):
     q = jobs.frame_faults(frames, "session", "n").writeStream.format("memory").queryName("faults").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("faults").collect()) == [("s", 2, 3), ("t", 0, 1)]
+
+
+def test_all_matches_of_a_large_group(spark):
+    rng = random.Random(5)
+    base = rng.randbytes(600)
+    texts = [base] * 150 + [base[:k] + b"#" + base[k:] for k in range(0, 600)] + [rng.randbytes(300) for _ in range(20)] + [b"", b"", None, b"abc", b"abc"]
+    s = sketches.sketched(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, seq long, content binary"), "content")
+    probes = s.filter("id % 20 = 0 or id > 760")
+    got = {(r.probe, r.match): r.jaccard for r in sketches.all_matches(probes, s).collect()}
+    p = sketches.SketchParams()
+    lists = {i: sketches.features(t, p).tolist() for i, t in enumerate(texts) if t}
+    keys = {i: {int(k) for _, _, k in zip(*sketches.keys_of(np.array(x, np.uint32), np.zeros(len(x), np.int64), p))} for i, x in lists.items()}
+
+    def estimate(a, b):
+        k = min(len(a), len(b))
+        return len(set(sorted(set(a) | set(b))[:k]) & set(a) & set(b)) / k
+
+    want = {(a, b): estimate(lists[a], lists[b]) for a in lists if a % 20 == 0 or a > 760 for b in lists if a != b and keys[a] & keys[b]}
+    want = {k: j for k, j in want.items() if j >= 0.25}
+    assert got.keys() == want.keys() and all(abs(got[k] - j) < 1e-9 for k, j in want.items())
+    assert sum(a == 0 for a, _ in got) > 512 and sketches.search(probes, s).filter("probe = 0").count() == 4
+    assert sketches.all_matches(probes.limit(0), s).count() == 0
