@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -21,6 +19,9 @@ DEFAULTS = {
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # shuffle files go when their execution ends
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": str(4 << 20),  # a filter of at most 8 MB before a large side is shuffled
 }
 
 
@@ -62,9 +63,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path  # for discard()
-    gc.collect()
-    df.sparkSession._jvm.System.gc()  # shuffle files of finished work go once the driver's garbage is collected,
-    time.sleep(0.2)  # by the cleaner thread, which looks every 0.1 s
     return out
 
 
