@@ -1,20 +1,24 @@
 """Near-duplicate byte contents by an exact metric-space join under the Jaccard distance.
 
 A content is the set of its distinct runs of ``WIDTH`` bytes; the distance 1 - |A and B| / |A or B| is a metric.
-Pivots create regions: contents that agree in a min-hash take the one of smallest id as pivot when they lie
-within ``reach`` of it; those left try again with another hash, recursively, and what is still left is a pivot
-of its own. A region's window is its radius plus the threshold: by the triangle inequality only regions whose
-pivots are within radius + radius + threshold can share a pair. Those pivots are found exactly with prefix
-postings (rarest runs first); within such regions the triangle inequality settles most pairs from the
-distances to the pivots, and the rest are measured.
-
-Distances between unrelated contents are all near 1, so windows around a few shared pivots would replicate
-everything everywhere; hence many small regions, and an index to find which of them meet.
-
-Skew: equal contents are one row before anything else. A family of near-copies collapses into its pivots'
-regions before postings are made. Postings travel as blocks of one batch and target, the reducer counts the
-runs that two pivots share and never lists a run's pairs outside its block; runs in many contents come last in
-every prefix.
+Contents that agree in a mark (two min-hashes) choose the one of smallest id as a *pivot*. Every other content
+learns its distance to all pivots near it and belongs to the Voronoi region of the nearest, if that lies within
+half the threshold; so two contents of one region are near each other by the triangle inequality alone. A region's
+window is its radius plus the threshold: whatever lies in it is replicated into the region, as only that can be near
+one of the region's own contents. Of a region's own and a replicated content the triangle inequality settles most
+pairs from the distances to the pivot, and the rest are measured; a pair that two regions see counts in the one of
+smaller pivot. Contents of no region are joined with each other recursively, with other marks, until every one is a
+pivot.
+
+A content that shares its mark with none is a pivot of radius 0: its window is the threshold, and what lies in it is
+a result at once. Unrelated contents are all at distance near 1, so a few sampled pivots would have windows that
+replicate everything everywhere; which pivots are near a content is therefore found exactly with prefix postings
+(rarest runs first): if two sets of n and m runs share t / (1 + t) (n + m), they share some of the first n - t n + 1
+and m - t m + 1.
+
+Skew: equal contents of one key are one row before anything else. Of a family of near-copies only pivots are held, so
+the others meet a few of them and not each other. Postings travel as blocks of one batch and target, and the reducer
+counts the runs that two contents share and never lists a run's pairs outside a block.
 """
 
 from __future__ import annotations
@@ -34,7 +38,12 @@ _COUNTERS = 1 << 18
 _COUNTER_SHIFT = np.uint64(46)
 #: Pairs of one block of asking contents are counted together.
 _BLOCK = 1_000
-_ROUNDS = 2
+#: Levels of the recursion; at the last every content is a pivot.
+_LEVELS = 3
+#: Contents that share a mark, up to which their roles go to the tasks with the code (16 bytes each); beyond, by a join.
+_ROLES_SENT = 1_000_000
+#: Roles: a member looks for its region, a single pivot has none but itself, a pivot of several has a region.
+_MEMBER, _SINGLE, _SHARED = 0, 1, 2
 _EPS = 1e-9
 
 
@@ -69,26 +78,28 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, marks) of each content, a mark being two min-hashes; last, the partition's counters."""
-    counts = np.zeros(_COUNTERS, np.int64)
-    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), *((f"m{r}", pa.int64()) for r in range(_ROUNDS)), ("counts", pa.binary())])
-    for batch in batches:
-        runs = [runs_of(c) for c in bytes_of(batch.column("content"))]
-        sizes = np.array([len(x) for x in runs], np.int32)
-        marks = [pa.nulls(len(runs), pa.int64())] * _ROUNDS
-        some = sizes > 0
-        if some.any():
-            h = mixed(np.concatenate(runs))
-            counts += np.bincount((h >> _COUNTER_SHIFT).astype(np.int64), minlength=_COUNTERS)
-            begin = np.cumsum(sizes[some]) - sizes[some]
-            for r in range(_ROUNDS):
-                low = [np.minimum.reduceat(h * np.uint64(2 * i + 3) ^ (h >> np.uint64(2 * i + 9)), begin) for i in (2 * r, 2 * r + 1)]
-                mark = np.zeros(len(runs), np.uint64)
+def _signatures(level: int, counted: bool):
+    """(id, mark) of each content, a mark being two min-hashes; last, with ``counted``, the partition's counters."""
+    names = ["id", "mark", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            runs = [runs_of(c) for c in bytes_of(batch.column("content"))]
+            size = np.array([len(x) for x in runs], np.int64)
+            mark, some = np.zeros(len(runs), np.uint64), size > 0
+            if some.any():
+                h = mixed(np.concatenate(runs))
+                if counted:
+                    counts += np.bincount((h >> _COUNTER_SHIFT).astype(np.int64), minlength=_COUNTERS)
+                begin = (np.cumsum(size) - size)[some]
+                low = [np.minimum.reduceat(h * np.uint64(2 * i + 3) ^ (h >> np.uint64(2 * i + 9)), begin) for i in (2 * level, 2 * level + 1)]
                 mark[some] = mixed(low[0] ^ mixed(low[1]))
-                marks[r] = pa.array(mark.view(np.int64), mask=~some)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *marks, pa.nulls(len(runs), pa.binary())], schema=schema)
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(_ROUNDS)), pa.array([counts.tobytes()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mark.view(np.int64), mask=~some), pa.nulls(len(runs), pa.binary())], names=names)
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()])], names=names)
+
+    return run
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,79 +138,126 @@ def measured(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return two.mapInArrow(run, ", ".join(["a long", "b long", *(f"{c} {types[c]}" for c in kept), "d double"]))
 
 
-def _regions(signed: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
-    """(id, pivot, d) of the contents that are not pivots themselves."""
-    found, free = None, signed
-    for r in range(_ROUNDS):
-        mark = f"m{r}"
-        groups = free.groupBy(mark).agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select(mark, "pivot")
-        near = free.join(groups, mark).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        near = materialize(near, "candidates")  # a table of known size: where it is small, contents are not shuffled
-        near = materialize(measured(near, contents).filter(F.col("d") <= reach).select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d"), "members")
-        found = near if found is None else found.unionByName(near)
-        if r + 1 < _ROUNDS:
-            free = free.join(near.select("id").union(near.select("pivot")), "id", "left_anti")
-    return found
-
-
-def _postings(order: np.ndarray, limit: float, parts: int):
-    """Blocks of postings: for each target partition the contents' headers and the hashes of their prefix runs.
-
-    ``order``: the rank of each counter; with the hash's other bits it orders all runs, the rarer first.
-    ``limit``: similarity that two pivots without a radius must have, less the largest radius. A content asks
-    with its first n - t n + 1 runs; it is held under its first n - 2t/(1+t) n + 1, as only a content of at
-    least its own size asks for it. Bit 0 of a hash tells whether it is held.
+def rarer_first(counters: np.ndarray) -> np.ndarray:
+    """The rank of each counter."""
+    order = np.empty(_COUNTERS, np.uint64)
+    order[np.argsort(counters, kind="stable")] = np.arange(_COUNTERS, dtype=np.uint64)
+    return order
+
+
+def first_runs(size: np.ndarray, t: np.ndarray | float) -> np.ndarray:
+    """How many of its first runs a content of ``size`` needs, so that no partner of similarity t lacks them all."""
+    return np.maximum(0, size - np.ceil(t * size - _EPS).astype(np.int64) + np.minimum(size, 1))
+
+
+def first_runs_of_smaller(size: np.ndarray, t: float) -> np.ndarray:
+    """The same where only partners of at least its size ask for it."""
+    return first_runs(size, 2 * t / (1 + t))
+
+
+def ranks_of(content, order: np.ndarray) -> np.ndarray:
+    """The runs' places in the common order, unsorted: their counter's rank, then the hash's other 46 bits."""
+    h = mixed(runs_of(content))
+    return (order[(h >> _COUNTER_SHIFT).astype(np.int64)] << _COUNTER_SHIFT) | (h & np.uint64((1 << 46) - 1))
+
+
+def blocks_of(parts: int, ids: np.ndarray, label: np.ndarray, size: np.ndarray, owner: np.ndarray, ranks: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+    """(part, block) of a batch's postings: per target the contents' headers (id, label, size) and the tokens with a flag each.
+
+    The 46 bits of a hash split into the partition and the token, of 31 bits; other bits are used only beyond 32,768 partitions.
+    """
+    x = ranks & np.uint64((1 << 46) - 1)
+    whole = x // np.uint64(parts)
+    part = (x - whole * np.uint64(parts)).astype(np.int64)
+    token = ((whole & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)) | flag.astype(np.uint32)
+    at = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[at], np.arange(parts + 1))
+    out_part, out_block = [], []
+    for p in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        take = at[bounds[p] : bounds[p + 1]]
+        own = owner[take]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        who, count = own[begin], np.diff(np.append(begin, len(own)))
+        out_part.append(p)
+        out_block.append(b"".join(x.tobytes() for x in (np.array([len(who), len(take)], np.int64), ids[who], label[who].astype(np.int32), size[who].astype(np.int32), count.astype(np.int32), token[take])))
+    return pa.RecordBatch.from_arrays([pa.array(out_part, pa.int64()), pa.array(out_block, pa.binary())], names=["part", "block"])
+
+
+def read_blocks(column) -> tuple[np.ndarray, ...]:
+    """ids, labels, sizes of the contents of some blocks, and (owner, token, flag) of their postings."""
+    kinds = (np.int64, np.int32, np.int32, np.int32)
+    heads, tokens = [[np.zeros(0, k)] for k in kinds], [np.zeros(0, np.uint32)]
+    for raw in bytes_of(column):
+        n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        at = 16
+        for out, kind in zip(heads, kinds):
+            out.append(np.frombuffer(raw, kind, n, at))
+            at += out[-1].nbytes
+        tokens.append(np.frombuffer(raw, np.uint32, m, at))
+    ids, label, size, count = (np.concatenate(x) for x in heads)
+    token = np.concatenate(tokens)
+    return ids, label, size.astype(np.int64), np.repeat(np.arange(len(ids)), count), token >> np.uint32(1), (token & np.uint32(1)) > 0
+
+
+def met_again(token: np.ndarray) -> np.ndarray:
+    """Where the tokens are that occur more than once, ascending. Most runs of most contents occur once."""
+    x = token.astype(np.uint64) << np.uint64(32) | np.arange(len(token), dtype=np.uint64)
+    x.sort()
+    same = x[1:] >> np.uint64(32) == x[:-1] >> np.uint64(32)
+    again = np.append(same, False) | np.append(False, same) if len(x) else np.zeros(0, bool)
+    at = (x[again] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at.sort()
+    return at
+
+
+def by_part(run, schema: pa.Schema):
+    """``run`` for each part of a task's rows; the rows of a part must be in one task."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
+                held.setdefault(part, []).append(block)
+        for part in sorted(held):
+            yield from run(held.pop(part)).cast(schema).to_batches()
+
+    return every
+
+
+def _postings(order: np.ndarray, threshold: float, reach: float, parts: int, roles: tuple[np.ndarray, np.ndarray] | None):
+    """Posting blocks of the contents' first runs. ``roles``: ids in order and their roles, all others are single pivots; None: a column has them.
+
+    The flag of a token tells whether it is among those that a larger pivot asks for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            radius, ids = batch.column("radius").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
-            runs = [runs_of(c) for c in bytes_of(batch.column("content"))]
-            size = np.array([len(x) for x in runs], np.int64)
-            t = limit - radius
-            asked = np.maximum(0, size - np.ceil(t * size - _EPS).astype(np.int64) + 1)
-            held = np.minimum(asked, size - np.ceil(2 * t / (1 + t) * size - _EPS).astype(np.int64) + 1)
-            h = mixed(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
-            bins = (h >> _COUNTER_SHIFT).astype(np.int64)
-            rank = (order[bins] << _COUNTER_SHIFT) | (h & np.uint64((1 << 46) - 1))
-            begin = np.cumsum(size) - size
-            kept, early = [], []
-            for i, k, m, n in zip(begin.tolist(), asked.tolist(), held.tolist(), size.tolist()):
-                if n:
-                    first = np.sort(rank[i : i + n])[:k]
-                    kept.append(first)
-                    early.append(np.arange(len(first)) < m)
-            ranks = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(ids)), np.minimum(asked, size))
-            # the low 46 bits of a rank are the hash's: 15 for the partition, 31 for the posting
-            part = ((ranks & np.uint64(0x7FFF)) % np.uint64(parts)).astype(np.int64)
-            token = ((ranks >> np.uint64(15)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)
-            token |= (np.concatenate(early) if early else np.zeros(0, bool)).astype(np.uint32)
-            at = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[at], np.arange(parts + 1))
-            out_part, out_block = [], []
-            for p in range(parts):
-                take = at[bounds[p] : bounds[p + 1]]
-                if not len(take):
-                    continue
-                who, count = np.unique(owner[take], return_counts=True)
-                heads = [ids[who], radius[who], size[who].astype(np.int32), asked[who].astype(np.int32), held[who].astype(np.int32), count.astype(np.int32)]
-                out_part.append(p)
-                out_block.append(np.array([len(who), len(take)], np.int64).tobytes() + b"".join(x.tobytes() for x in heads) + token[take].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int64()), pa.array(out_block, pa.binary())], names=["part", "block"])
+            ids = batch.column("id").to_numpy()
+            if roles is None:
+                role = batch.column("role").to_numpy()
+            else:
+                role = np.full(len(ids), _SINGLE)
+                if len(roles[0]):
+                    at = np.minimum(np.searchsorted(roles[0], ids), len(roles[0]) - 1)
+                    known = roles[0][at] == ids
+                    role[known] = roles[1][at[known]]
+            ranks = [ranks_of(c, order) for c in bytes_of(batch.column("content"))]
+            size = np.array([len(x) for x in ranks], np.int64)
+            asked = np.where(role == _SINGLE, first_runs(size, threshold), first_runs(size, threshold - reach))
+            early = np.minimum(asked, first_runs_of_smaller(size, threshold))
+            kept, flag = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for x, k, e in zip(ranks, asked.tolist(), early.tolist()):
+                if k:
+                    x.partition(k - 1)
+                    x = x[:k]
+                    x.sort()
+                kept.append(x[:k])
+                flag.append(np.arange(k) < e)
+            yield blocks_of(parts, ids, role, size, np.repeat(np.arange(len(ids)), asked), np.concatenate(kept), np.concatenate(flag))
 
     return run
 
 
-def _read_block(raw) -> list[np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-    at, out = 16, []
-    for kind, count in ((np.int64, n), (np.float64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint32, m)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += out[-1].nbytes
-    return out
-
-
 def spans(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) for all j from low[i] to high[i] - 1, in pieces of about ``most``."""
     n = high - low
@@ -211,90 +269,128 @@ def spans(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[
         start = stop
 
 
-def _meet(threshold: float, limit: float, parts: int):
-    """One partition of postings: the pairs of pivots (a, b) that may share enough runs, and the distance they may have.
+def _meet(threshold: float, reach: float, parts: int):
+    """One part of the postings: pairs (a, b) of a content and a pivot that may be near enough; ``window`` where b has a region and a may be in its window.
 
-    The larger content (of equal sizes the larger id) asks for those that hold the run; sizes outside the
-    threshold's range are passed over in the sorted list. A pair that shares enough shares at least its mean
-    over the partitions in one of them, so only such pairs are proposed.
+    Pivots ask for pivots, the larger (of equal sizes the larger id) for the smaller; members ask for all pivots. A pair that shares enough
+    shares at least its mean over the parts in one of them, so only such pairs are proposed.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        blocks = [_read_block(memoryview(b.as_buffer())) for b in table.column("block")]
-        ids, radius, size, asked, held, count = (np.concatenate([b[i] for b in blocks]) for i in range(6))
-        token = np.concatenate([b[6] for b in blocks])
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), count)
-        del blocks
-        is_held = (token & np.uint32(1)) > 0
-        token = (token >> np.uint32(1)).astype(np.int64) << 32
-        shelf, shelf_owner = (token | size[owner])[is_held], owner[is_held]
-        sort = np.argsort(shelf)
-        shelf, shelf_owner = shelf[sort], shelf_owner[sort]
-        t = limit - radius
-        least = np.ceil(t * size - _EPS).astype(np.int64)
-        end = np.cumsum(count)
-        out: list[tuple] = []
-        for first in range(0, len(ids), _BLOCK):
-            last = min(first + _BLOCK, len(ids))
-            mine = slice(end[first] - count[first], end[last - 1])
-            who, key = owner[mine], token[mine]
-            low = np.searchsorted(shelf, key | least[who], "left")
-            high = np.searchsorted(shelf, key | size[who], "right")
-            found = [np.zeros(0, np.int64)]
-            for i, j in spans(low, high):
-                a, b = who[i], shelf_owner[j]
-                ok = (size[b] < size[a]) | (ids[b] < ids[a])
-                found.append((a[ok].astype(np.int64) - first) * len(ids) + b[ok])
-            pairs, shared = np.unique(np.concatenate(found), return_counts=True)
-            a, b = pairs // len(ids) + first, pairs % len(ids)
-            t_ab = np.maximum(threshold - radius[a] - radius[b], 0.0)
-            both = np.ceil(t_ab / (1 + t_ab) * (size[a].astype(np.float64) + size[b]) - _EPS)
-            must = np.maximum(1, both - np.maximum(size[a] - asked[a], size[b] - held[b])).astype(np.int64)
-            ok = (shared * parts >= must) & (size[b] >= t_ab * size[a] - _EPS)
-            out.append((ids[a[ok]], ids[b[ok]], 1.0 - t_ab[ok]))
-        return pa.table([np.concatenate(x) for x in zip(*out)], names=["a", "b", "limit"])
-
-    return run
+    wide = threshold - reach
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("window", pa.bool_())])
+
+    def run(blocks) -> pa.Table:
+        ids, role, size, owner, token, early = read_blocks(blocks)
+        keep = met_again(token)
+        owner, token, early = owner[keep], token[keep].astype(np.int64) << 32, early[keep]
+        asked = np.where(role == _SINGLE, first_runs(size, threshold), first_runs(size, wide))
+        smaller = np.minimum(asked, first_runs_of_smaller(size, threshold))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        pivot = role[owner] != _MEMBER
+        for member in (False, True):
+            held = np.flatnonzero(pivot if member else pivot & early)
+            shelf = token[held] | size[owner[held]]
+            sort = np.argsort(shelf)
+            shelf, shelf_owner = shelf[sort], owner[held[sort]]
+            mine = np.flatnonzero(pivot != member)
+            who_all, key_all = owner[mine], token[mine]
+            for first in np.unique(who_all // _BLOCK) * _BLOCK:
+                this = slice(*np.searchsorted(who_all, [first, first + _BLOCK]))
+                who, key = who_all[this], key_all[this]
+                n, t = size[who], wide if member else threshold
+                low = np.searchsorted(shelf, key | np.ceil(t * n - _EPS).astype(np.int64), "left")
+                high = np.searchsorted(shelf, key | (np.floor(n / t + _EPS).astype(np.int64) if member else n), "right")
+                found = [np.zeros(0, np.int64)]
+                for i, j in spans(low, high):
+                    a, b = who[i], shelf_owner[j]
+                    if not member:
+                        ok = (size[b] < size[a]) | (ids[b] < ids[a])
+                        a, b = a[ok], b[ok]
+                    found.append((a - first) * len(ids) + b)
+                pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+                a, b = pairs // len(ids) + first, pairs % len(ids)
+                window = (role[b] == _SHARED) & member
+                t = np.where(window, wide, threshold)
+                both = np.ceil(t / (1 + t) * (size[a] + size[b]) - _EPS)
+                must = np.maximum(1, both - np.maximum(size[a] - asked[a], size[b] - (asked if member else smaller)[b]))
+                ok = (shared * parts >= must) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - _EPS)
+                out.append((ids[a[ok]], ids[b[ok]], window[ok]))
+        return pa.table([np.concatenate(x) for x in zip(*out)], schema=schema)
+
+    return by_part(run, schema)
+
+
+def _roles(signed: DataFrame) -> DataFrame:
+    """(id, role) of the contents that share a mark."""
+    groups = signed.filter("mark is not null").groupBy("mark").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("mark", "pivot")
+    return signed.join(groups, "mark").select("id", F.when(F.col("id") == F.col("pivot"), _SHARED).otherwise(_MEMBER).alias("role"))
+
+
+def _inside(spokes: DataFrame, home: DataFrame, near: float) -> DataFrame:
+    """(a, b, sure): the pairs of two members that a region finds, from the distances to its pivot."""
+    radius = home.groupBy("p").agg(F.max("d").alias("radius"))
+    rows = spokes.filter("window").select(F.col("b").alias("p"), F.col("a").alias("id"), "d").join(radius, "p").filter(F.col("d") <= F.col("radius") + near + _EPS).select("p", "id", "d")
+    rows = rows.join(home.select("id", F.col("p").alias("home")), "id", "left")
+    x = rows.filter("home = p").select("p", F.col("id").alias("a"), F.col("d").alias("da"))
+    y = rows.select("p", F.col("id").alias("b"), F.col("d").alias("db"), "home")
+    pairs = x.join(y, "p").filter(F.when(F.col("home") == F.col("p"), F.col("a") < F.col("b")).otherwise(F.col("home").isNull() | (F.col("p") < F.col("home"))))
+    return pairs.filter(F.abs(F.col("da") - F.col("db")) <= near + _EPS).select("a", "b", (F.col("da") + F.col("db") <= near - _EPS).alias("sure"))
+
+
+def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """(a, b): all pairs of ``contents`` (id, content) within the distance, each once."""
+    spark, near = contents.sparkSession, 1.0 - threshold
+    reach = near / 2
+    order, results, active = None, [], contents
+    for level in range(_LEVELS):
+        roles, sent, posted = None, (np.zeros(0, np.int64), np.zeros(0, np.int32)), active
+        if level + 1 < _LEVELS or order is None:
+            signed = materialize(active.mapInArrow(_signatures(level, order is None), "id long, mark long, counts binary"), "signatures")
+            if order is None:
+                order = rarer_first(summed_counters(signed.filter("counts is not null").select("counts")))
+            roles = materialize(_roles(signed.select("id", "mark")), "roles")
+            discard(signed)
+            if roles.count() <= _ROLES_SENT:
+                table = roles.toArrow().sort_by("id")
+                sent = table.column("id").to_numpy(), table.column("role").to_numpy()
+            else:
+                sent, posted = None, active.join(roles, "id", "left").withColumn("role", F.coalesce("role", F.lit(_SINGLE)))
+        parts = tasks_for(spark, rows, 40_000)
+        blocks = posted.mapInArrow(_postings(order, threshold, reach, parts, sent), "part long, block binary")
+        met = blocks.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_meet(threshold, reach, parts), "a long, b long, window boolean")
+        met = materialize(met.distinct(), "met")
+        spokes = materialize(measured(met, contents).filter(F.col("d") <= near + _EPS + F.when(F.col("window"), reach).otherwise(0.0)), "spokes")
+        discard(met)
+        results.append(spokes.filter(F.col("d") <= near + _EPS).select("a", "b"))
+        if roles is None:
+            break
+        home = spokes.filter(F.col("window") & (F.col("d") <= reach)).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", F.col("b").alias("p"))).alias("h")).select("id", "h.p", "h.d")
+        home = materialize(home, "regions")
+        pairs = materialize(_inside(spokes, home, near), "inside")
+        results.append(pairs.filter("sure").select("a", "b"))
+        results.append(measured(pairs.filter("not sure").select("a", "b"), contents).filter(F.col("d") <= near + _EPS).select("a", "b"))
+        free = materialize(roles.filter(F.col("role") == _MEMBER).select("id").join(home, "id", "left_anti"), "free")
+        discard(roles, home)
+        rows = free.count()
+        if not rows:
+            break
+        active = contents.join(free, "id", "left_semi")
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return materialize(out, "near")
 
 
-def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7, reach: float = 0.1) -> DataFrame:
+def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7) -> DataFrame:
     """(key_a, key_b) with key_a < key_b: all pairs of different keys whose contents' similarity is at least ``threshold``.
 
     ``key`` STRING, ``content`` BINARY; rows with a null in either are left out, of several contents of one key
     the smallest counts. Contents shorter than 8 bytes have no runs and no pairs. Other columns are ignored.
-    Exact: nothing is sampled or capped; 32-bit run hashes only propose pairs, which are measured on the runs
+    Exact: nothing is sampled or capped; hashes of runs only propose pairs, which are measured on the runs
     themselves. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     one = docs.select(F.col(key).alias("key"), F.col(content).alias("content")).filter("key is not null and content is not null").groupBy("key").agg(F.min("content").alias("content"))
     laid = materialize(one.select(F.monotonically_increasing_id().alias("id"), "key", "content"), "contents")
-    contents = laid.select("id", "content")
-    signed = materialize(contents.mapInArrow(_signatures, "id long, size int, " + ", ".join(f"m{r} long" for r in range(_ROUNDS)) + ", counts binary"), "signatures")
-    counters = summed_counters(signed.filter("counts is not null").select("counts"))
-    order = np.empty(_COUNTERS, np.uint64)
-    order[np.argsort(counters, kind="stable")] = np.arange(_COUNTERS, dtype=np.uint64)
-    signed_docs = signed.filter("size > 0").drop("counts")
-    members = materialize(_regions(signed_docs, contents, reach), "regions")
-    discard(signed)
-    radius = members.groupBy(F.col("pivot").alias("id")).agg(F.max("d").alias("radius"))
-    largest = members.agg(F.max("d")).first()[0] or 0.0
-    pivots = contents.join(members.select("id"), "id", "left_anti").join(radius, "id", "left").select("id", "content", F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    parts = min(tasks_for(spark, laid.count(), 20_000), 1 << 15)
-    blocks = pivots.mapInArrow(_postings(order, threshold - largest, parts), "part long, block binary")
-    blocks = blocks.repartition(max(parts, 201), "part")  # a task a part; over 200 partitions are written in one pass, not first to a file each
-    met = blocks.groupBy("part").applyInArrow(_meet(threshold, threshold - largest, parts), "a long, b long, limit double")
-    met = materialize(met.dropDuplicates(["a", "b"]), "met")  # so that the postings are gone before contents are shuffled
-    windows = materialize(measured(met, contents).filter(F.col("d") <= F.col("limit") + _EPS).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("d").alias("gap")), "windows")
-    close = 1.0 - threshold
-    inside = members.select(F.col("pivot").alias("p")).distinct().select("p", F.col("p").alias("q"), F.lit(0.0).alias("gap"))
-    with_pivots = members.select("pivot", "id", "d").unionByName(windows.select(F.explode(F.array("p", "q")).alias("pivot")).union(members.select("pivot")).distinct().select("pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("d")))
-    x = with_pivots.select(F.col("pivot").alias("p"), F.col("id").alias("a"), F.col("d").alias("da"))
-    y = with_pivots.select(F.col("pivot").alias("q"), F.col("id").alias("b"), F.col("d").alias("db"))
-    pairs = windows.unionByName(inside).join(x, "p").join(y, "q").filter("p <> q or a < b")
-    pairs = pairs.filter(F.greatest(F.col("gap") - F.col("da") - F.col("db"), F.abs(F.col("da") - F.col("db")) - F.col("gap")) <= close + _EPS)
-    pairs = materialize(pairs.select("a", "b", (F.col("gap") + F.col("da") + F.col("db") <= close - _EPS).alias("sure")), "pairs")
-    told = measured(pairs.filter("not sure").select("a", "b"), contents).filter(F.col("d") <= close + _EPS).select("a", "b")
-    result = materialize(pairs.filter("sure").select("a", "b").unionByName(told), "near")
+    result = _joined(laid.select("id", "content"), laid.count(), threshold)
     name = laid.select("id", "key")
     named = result.join(name.select(F.col("id").alias("a"), F.col("key").alias("k")), "a").join(name.select(F.col("id").alias("b"), F.col("key").alias("l")), "b")
     return named.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b"))
