@@ -1,9 +1,9 @@
 """Near-duplicate byte contents by an exact metric-space join under the Jaccard distance.
 
 A content is the set of its distinct runs of ``WIDTH`` bytes; the distance 1 - |A and B| / |A or B| is a metric.
-Contents that agree in a mark (two min-hashes) choose the one of smallest id as a *pivot*. Every other content
+Contents that agree in a mark (four min-hashes) choose the one of smallest id as a *pivot*. Every other content
 learns its distance to all pivots near it and belongs to the Voronoi region of the nearest, if that lies within
-half the threshold; so two contents of one region are near each other by the triangle inequality alone. A region's
+a third of the threshold; so two contents of one region are near each other by the triangle inequality alone. A region's
 window is its radius plus the threshold: whatever lies in it is replicated into the region, as only that can be near
 one of the region's own contents. Of a region's own and a replicated content the triangle inequality settles most
 pairs from the distances to the pivot, and the rest are measured; a pair that two regions see counts in the one of
@@ -38,6 +38,8 @@ _COUNTERS = 1 << 18
 _COUNTER_SHIFT = np.uint64(46)
 #: Pairs of one block of asking contents are counted together.
 _BLOCK = 1_000
+#: Share of a content's runs that are posted beyond the fewest; more only proposes fewer pairs to measure.
+_FURTHER = 0.1
 #: Levels of the recursion; at the last every content is a pivot.
 _LEVELS = 3
 #: Contents that share a mark, up to which their roles go to the tasks with the code (16 bytes each); beyond, by a join.
@@ -79,7 +81,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signatures(level: int, counted: bool):
-    """(id, mark) of each content, a mark being two min-hashes; last, with ``counted``, the partition's counters."""
+    """(id, mark) of each content, a mark being four min-hashes; last, with ``counted``, the partition's counters."""
     names = ["id", "mark", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +95,8 @@ def _signatures(level: int, counted: bool):
                 if counted:
                     counts += np.bincount((h >> _COUNTER_SHIFT).astype(np.int64), minlength=_COUNTERS)
                 begin = (np.cumsum(size) - size)[some]
-                low = [np.minimum.reduceat(h * np.uint64(2 * i + 3) ^ (h >> np.uint64(2 * i + 9)), begin) for i in (2 * level, 2 * level + 1)]
-                mark[some] = mixed(low[0] ^ mixed(low[1]))
+                for i in range(4 * level, 4 * level + 4):
+                    mark[some] = mixed(mark[some] ^ np.minimum.reduceat(h * np.uint64(2 * i + 3) ^ (h >> np.uint64(2 * i + 9)), begin))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mark.view(np.int64), mask=~some), pa.nulls(len(runs), pa.binary())], names=names)
         if counted:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()])], names=names)
@@ -146,8 +148,8 @@ def rarer_first(counters: np.ndarray) -> np.ndarray:
 
 
 def first_runs(size: np.ndarray, t: np.ndarray | float) -> np.ndarray:
-    """How many of its first runs a content of ``size`` needs, so that no partner of similarity t lacks them all."""
-    return np.maximum(0, size - np.ceil(t * size - _EPS).astype(np.int64) + np.minimum(size, 1))
+    """How many of its first runs a content of ``size`` posts: those that no partner of similarity t can all lack, and some more, so that it must share several."""
+    return np.minimum(size, size - np.ceil(t * size - _EPS).astype(np.int64) + 1 + np.ceil(_FURTHER * size).astype(np.int64))
 
 
 def first_runs_of_smaller(size: np.ndarray, t: float) -> np.ndarray:
@@ -270,13 +272,13 @@ def spans(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[
 
 
 def _meet(threshold: float, reach: float, parts: int):
-    """One part of the postings: pairs (a, b) of a content and a pivot that may be near enough; ``window`` where b has a region and a may be in its window.
+    """One part of the postings: pairs (a, b) of a content and a pivot, how many first runs they share here and must in all; ``window`` where b has a region and a may be in its window.
 
-    Pivots ask for pivots, the larger (of equal sizes the larger id) for the smaller; members ask for all pivots. A pair that shares enough
-    shares at least its mean over the parts in one of them, so only such pairs are proposed.
+    Pivots ask for pivots, the larger (of equal sizes the larger id) for the smaller; members ask for all pivots. Parts in which a pair
+    shares less than half its mean are left out; together they lack less than half of what it must share.
     """
     wide = threshold - reach
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("window", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("window", pa.bool_()), ("shared", pa.int32()), ("must", pa.int32())])
 
     def run(blocks) -> pa.Table:
         ids, role, size, owner, token, early = read_blocks(blocks)
@@ -284,7 +286,7 @@ def _meet(threshold: float, reach: float, parts: int):
         owner, token, early = owner[keep], token[keep].astype(np.int64) << 32, early[keep]
         asked = np.where(role == _SINGLE, first_runs(size, threshold), first_runs(size, wide))
         smaller = np.minimum(asked, first_runs_of_smaller(size, threshold))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        out = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, bool, np.int32, np.int32))]
         pivot = role[owner] != _MEMBER
         for member in (False, True):
             held = np.flatnonzero(pivot if member else pivot & early)
@@ -312,8 +314,8 @@ def _meet(threshold: float, reach: float, parts: int):
                 t = np.where(window, wide, threshold)
                 both = np.ceil(t / (1 + t) * (size[a] + size[b]) - _EPS)
                 must = np.maximum(1, both - np.maximum(size[a] - asked[a], size[b] - (asked if member else smaller)[b]))
-                ok = (shared * parts >= must) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - _EPS)
-                out.append((ids[a[ok]], ids[b[ok]], window[ok]))
+                ok = (2 * shared * parts >= must) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - _EPS)
+                out.append((ids[a[ok]], ids[b[ok]], window[ok], shared[ok].astype(np.int32), must[ok].astype(np.int32)))
         return pa.table([np.concatenate(x) for x in zip(*out)], schema=schema)
 
     return by_part(run, schema)
@@ -339,7 +341,7 @@ def _inside(spokes: DataFrame, home: DataFrame, near: float) -> DataFrame:
 def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
     """(a, b): all pairs of ``contents`` (id, content) within the distance, each once."""
     spark, near = contents.sparkSession, 1.0 - threshold
-    reach = near / 2
+    reach = near / 3
     order, results, active = None, [], contents
     for level in range(_LEVELS):
         roles, sent, posted = None, (np.zeros(0, np.int64), np.zeros(0, np.int32)), active
@@ -356,8 +358,9 @@ def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
                 sent, posted = None, active.join(roles, "id", "left").withColumn("role", F.coalesce("role", F.lit(_SINGLE)))
         parts = tasks_for(spark, rows, 40_000)
         blocks = posted.mapInArrow(_postings(order, threshold, reach, parts, sent), "part long, block binary")
-        met = blocks.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_meet(threshold, reach, parts), "a long, b long, window boolean")
-        met = materialize(met.distinct(), "met")
+        met = blocks.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_meet(threshold, reach, parts), "a long, b long, window boolean, shared int, must int")
+        met = met.groupBy("a", "b").agg(F.bool_or("window").alias("window"), F.sum("shared").alias("shared"), F.max("must").alias("must"))
+        met = materialize(met.filter("2 * shared >= must").select("a", "b", "window"), "met")
         spokes = materialize(measured(met, contents).filter(F.col("d") <= near + _EPS + F.when(F.col("window"), reach).otherwise(0.0)), "spokes")
         discard(met)
         results.append(spokes.filter(F.col("d") <= near + _EPS).select("a", "b"))
