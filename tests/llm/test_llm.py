@@ -139,25 +139,33 @@ def test_history_finds_every_near_pair_of_short_and_patched_contents(spark):
     assert got == known(rows, pairs) and len(pairs) > 300
 
 
-@pytest.mark.parametrize("n", [0, 3, 8, 20, 24, 30, 35, 36, 400])
-def test_fingerprints(n):
-    data = random.Random(n).randbytes(n)
-    runs = neardup.mixed(neardup.all_runs(data), 5)
-    grams = [neardup.mixed(neardup.mixed(runs[i : i + 1] * np.uint64(3) + runs[i + 8 : i + 9]) * np.uint64(3) + runs[i + 16 : i + 17])[0] for i in range(max(0, n - history.GRAM + 1))]
-    got = history.fingerprints(data)
-    if len(grams) >= history.WINDOW:
-        assert got.tolist() == sorted({min(grams[i : i + history.WINDOW]) for i in range(len(grams) - history.WINDOW + 1)})
-    else:
-        assert len(got) == (1 if n >= 8 else 0)
-
-
-def test_batch_fingerprints_equal_those_of_each_content():
-    rng = random.Random(6)
-    contents = [rng.randbytes(n) for n in (0, 3, 8, 20, 24, 34, 35, 36, 0, 400, 35, 500)] + [b"ab" * 200, b"", b"same content, twice over " * 3] * 2
-    flat, owner = history.batch_fingerprints(contents)
-    for i, c in enumerate(contents):
-        assert flat[owner == i].tolist() == sorted(history.fingerprints(c).tolist())
-    assert len(history.batch_fingerprints([])[0]) == len(history.batch_fingerprints([b"ab", b""])[0]) == 0
+def test_history_of_many_loads_merges_and_recalls_every_edited_copy(spark, monkeypatch):
+    """Contents of 54 to 500 bytes with evenly spread one-byte changes, over 12 loads, merged on the way; few holders proposed first."""
+    monkeypatch.setattr(history, "_SEGMENTS", 5)
+    monkeypatch.setattr(history, "_MOST", 2)
+    rng = random.Random(9)
+    docs, rows = [], []
+    for k, n in enumerate([54, 58, 62, 66, 70, 80, 100, 150, 300, 500] * 6):
+        base = rng.randbytes(n)
+        step = n // (1 + n // 90) + 1
+        copy = bytes(c ^ 1 if i % step == step // 2 else c for i, c in enumerate(base))
+        docs += [(f"x{k:03d}", base), (f"y{k:03d}", copy)]
+        rows += [(k % 6, f"x{k:03d}", base), (6 + k % 6, f"y{k:03d}", copy)]
+    family = rng.randbytes(200)
+    for k in range(24):
+        docs.append((f"z{k:02d}", edited(rng, family, 1)))
+        rows.append((k % 12, *docs[-1]))
+    rows.append((3, "lost", None))  # first stored without its content
+    rows.append((7, "lost", docs[0][1] + b"!"))
+    pairs = true_pairs([*docs, ("lost", docs[0][1] + b"!")])
+    none, path, got = spark.createDataFrame([], "batch long, digest string"), scratch_path(spark, "test-history"), set()
+    content = spark.createDataFrame(rows, "batch long, digest string, content binary")
+    for b in range(12):
+        store = history.History(spark, path)
+        got |= {(r.batch, r.digest) for r in store.add(content.filter(F.col("batch") == b), none).collect()}
+    assert len(store.segments) < 5
+    want = known([r for r in rows if r[1] != "lost"], pairs)
+    assert {x for x in got if x[1] != "lost"} == want and len(want) > 70
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 64, 256])
