@@ -76,9 +76,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cutoff certified for each kind of document."""
-    scored = repetition.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "doc_kind"), "text")
-    return repetition.certified_cutoffs(repetition.holdout(scored, "doc_id", F.col("doc_kind")), (0.1, 0.15, 0.2, 0.25, 0.3))
+    """The cutoff certified for each kind of document, with what the holdout's clean and repeating documents say of it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "doc_kind")
+    return repetition.cutoffs_for(documents, repetition.measured(documents, "text").drop("text"), "doc_id", "text", "doc_kind")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
