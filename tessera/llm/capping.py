@@ -1,20 +1,33 @@
 """Limiting how many records a contributor may have, by radix selection.
 
 Quality and identifier become one byte string whose order is the order of preference. Of each contributor over
-its limit the cutoff is found byte by byte: count the records per contributor and byte, find the byte at which
-the limit falls, keep only the records with that byte, go on. Records are then kept by comparing with the
-cutoff. Counts are partial sums, 257 values a contributor at most, so a contributor with a third of all
-records costs no more than another; no contributor is ever sorted.
+its limit the cutoff is found digit by digit, two bytes at a time: count the records per contributor and digit, find
+the digit at which the limit falls, keep only the records with that digit, go on behind what they have in common.
+Once no contributor has more than ``_FEW`` records left, these are ranked. Records are then kept by comparing with
+the cutoff. Counts are partial sums, 65,537 values a contributor at most, so a contributor with a third of all
+records costs no more than another; no more than ``_FEW`` records of one are ever sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import discard, materialize
 
 
+#: Records of a contributor that are ranked when no one has more.
+_FEW = 4_096
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """The first place, from 1, at which two different byte strings differ."""
+    least = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), least), lambda i: a.substr(i, F.lit(1)) == b.substr(i, F.lit(1)))
+    at = F.when(least > 0, F.array_position(same, False).cast("int")).otherwise(0)
+    return F.when(at > 0, at).otherwise(least + 1)
+
+
 def preference_key(score: Column, identifier: Column) -> Column:
     """Bytes that sort by score, highest first and null last, then by identifier, bytewise.
 
@@ -37,29 +50,29 @@ def over_limit(df: DataFrame, group: Column, key: Column, most: int | None = Non
     rows = materialize(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), group.cast("string").alias("g"), key.alias("key")).filter("g is not null"), "capping")
     keys = rows.select("g", "key")
     limit = F.lit(most).cast("long") if most else F.lit(max(1, int(share * df.count()))).cast("long")
-    cut = materialize(keys.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("g", limit.alias("need"), F.lit(b"").alias("cut"), F.lit(False).alias("done")), "cutoffs")
-    done, active, at = None, keys.join(cut.select("g"), "g", "left_semi"), 1
-    ends = active.agg(F.min("key"), F.max("key")).first()
-    if ends[0] is not None:  # bytes that all keys share need no rounds
-        low, high = bytes(ends[0]), bytes(ends[1])
-        same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-        cut, at = cut.withColumn("cut", F.lit(low[:same])), same + 1
-    owned = [cut]
-    while True:
-        digit = F.substring("key", at, 1)
-        counts = active.groupBy("g", digit.alias("digit")).agg(F.count("*").alias("n"))
-        steps = counts.join(cut.filter("not done"), "g").withColumn("upto", F.expr("sum(n) over (partition by g order by digit)"))
-        here = steps.filter("upto >= need and upto - n < need")
-        # a key that ends here has the digit '', the smallest; nothing distinguishes keys that are equal
-        now = materialize(here.select("g", (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"), F.concat("cut", "digit").alias("cut"), ((F.col("upto") == F.col("need")) | (F.length("digit") == 0)).alias("done"), "digit"), "cutoffs")
-        finished = now.filter("done").select("g", "cut", (F.length("digit") == 0).alias("whole"))
-        done = finished if done is None else done.unionByName(finished)
-        open_groups = now.filter("not done")
-        if open_groups.isEmpty():
-            break
-        narrowed = materialize(active.join(open_groups.select("g", "digit"), "g").filter(F.substring("key", at, 1) == F.col("digit")).select("g", "key"), "capping")
-        discard(active)
-        active, cut, at = narrowed, now.drop("digit"), at + 1
+    open_groups = keys.groupBy("g").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter(F.col("n") > limit)
+    open_groups = materialize(open_groups.select("g", limit.alias("need"), "lo", "hi"), "cutoffs")
+    done, active, owned = open_groups.filter("lo = hi").select("g", F.col("hi").alias("cut")), keys, []
+    open_groups = open_groups.filter("lo < hi")
+    while not open_groups.isEmpty():
+        reached = active.join(open_groups.select("g", _differ(F.col("lo"), F.col("hi")).alias("at"), "need"), "g")
+        counts = reached.groupBy("g", "need", "at", F.expr("substring(key, at, 2)").alias("digit")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        here = counts.withColumn("upto", F.expr("sum(n) over (partition by g order by digit)")).filter("upto >= need and upto - n < need")
+        now = materialize(here.select("g", (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"), "n", "lo", "hi", "at", "digit"), "cutoffs")
         owned.append(now)
-    head = F.when(F.col("whole"), F.col("key")).otherwise(F.expr("substring(key, 1, length(cut))"))
-    return rows.join(done, "g").filter(head > F.col("cut")).select("row.*")
+        ended = (F.col("n") == F.col("need")) | (F.col("lo") == F.col("hi"))
+        done = done.unionByName(now.filter(ended).select("g", F.col("hi").alias("cut")))
+        open_groups = now.filter(~ended)
+        largest = open_groups.agg(F.max("n")).first()[0]
+        if largest is None:
+            break
+        narrowed = reached.select("g", "key").join(open_groups.select("g", "at", "digit", "need"), "g").filter("substring(key, at, 2) = digit").select("g", "key", "need")
+        if largest <= _FEW:
+            nth = F.row_number().over(Window.partitionBy("g").orderBy("key"))
+            done = done.unionByName(narrowed.withColumn("nth", nth).filter("nth = need").select("g", F.col("key").alias("cut")))
+            break
+        active = materialize(narrowed.select("g", "key"), "capping")
+        owned.append(active)
+    cut = materialize(done, "cut")
+    discard(*owned)
+    return rows.join(cut, "g").filter(F.col("key") > F.col("cut")).select("row.*")

@@ -187,11 +187,43 @@ def test_packing(spark, capacity):
     assert packing.packed(spark.createDataFrame([], "id long, n_tokens long"), capacity).count() == 0
 
 
+class Dense:
+    def __init__(self, a):
+        self.a, self.cols = a, a.shape[1]
+        self.row, self.col = (x.ravel() for x in np.indices(a.shape))
+        self.value = a.ravel()
+
+    def times(self, x):
+        return self.a @ x
+
+    def back(self, r):
+        return self.a.T @ r
+
+
 def test_least_squares_is_near_the_constrained_optimum():
     rng = np.random.default_rng(1)
     a = rng.random((20, 8))
     x = np.maximum(0, rng.normal(size=8))
-    assert np.allclose(packing.least_squares(a, a @ x, 3000), x, atol=1e-3)
+    assert np.allclose(packing.least_squares(Dense(a), a @ x, tolerance=1e-7), x, atol=1e-3)
+    h = rng.normal(size=20)  # no exact solution: the gradient is zero where x is positive, and not negative elsewhere
+    got = packing.least_squares(Dense(a), h, tolerance=1e-7)
+    g = a.T @ (a @ got - h)
+    assert np.abs(g[got > 1e-9]).max(initial=0) < 1e-4 and g.min() > -1e-4
+
+
+@pytest.mark.parametrize("capacity", [256, 1024, 4096])
+def test_fit_places_most_items(capacity):
+    rng = np.random.default_rng(capacity)
+    n = np.minimum(capacity, rng.lognormal(4.6, 1.0, 20_000).astype(int) + 1)
+    counts = {int(k): int(c) for k, c in zip(*np.unique(n, return_counts=True))}
+    plan, placed, norm = packing.planned(counts, capacity)
+    used = Counter()
+    for pattern, times in plan:
+        assert sum(k * c for k, c in pattern.items()) <= capacity and times > 0
+        for k, c in pattern.items():
+            used[k] += c * times
+    assert used == counts and norm < 0.05 and placed > 0.8 * len(n)
+    assert sum(t for _, t in plan) <= 1.02 * n.sum() / capacity + 1
 
 
 def test_knapsack_equals_brute_force():
@@ -259,12 +291,32 @@ def test_certified_cutoffs(spark):
 
     for k, n, p in ((0, 50, 0.05), (3, 40, 0.1), (7, 7, 0.2)):
         assert abs(repetition.binomial_at_most(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-12
-    rows = [("a", 0.05, True)] * 1980 + [("a", 0.12, True)] * 20 + [("a", 0.9, False)] * 50 + [("b", 0.1, True)] * 20 + [(None, None, None)]
+    rows = [("a", 0.05, True)] * 1980 + [("a", 0.12, True)] * 20 + [("a", 0.9, False)] * 50 + [("a", 0.25, False)] * 5 + [("b", 0.1, True)] * 20 + [(None, None, None), (None, None, True)]
     got = {r.stratum: r for r in repetition.certified_cutoffs(spark.createDataFrame(rows, "stratum string, score double, clean boolean"), (0.1, 0.2, 0.3), risk=0.01).collect()}
-    assert got["a"].cutoff == 0.2 and got["a"].certified and got["a"].rejected == 0  # 20 of 2000 at 0.1 is no proof of under one in a hundred
+    assert got["a"].cutoff == 0.2 and got["a"].certified and got["a"].rejected == 0 and got["a"].caught == 55  # 20 of 2000 at 0.1 is no proof of under one in a hundred
     assert not got["b"].certified and got["b"].cutoff == repetition.LIMIT and not got[""].certified
 
 
+def test_labels_decide_what_repeats(spark):
+    """Editors who bear half the text repeated let such documents pass; those who bear none have them rejected."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(500)]
+
+    def text(again):
+        w = [rng.choice(words) for _ in range(60)]
+        return " ".join(w + w[: int(60 * again)])
+
+    shares = [0.0] * 900 + [0.25] * 60 + [0.5] * 60 + [0.9] * 60
+    rows = [(i, text(a), "k") for i, a in enumerate(shares)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    found = {}
+    for name, bears in (("none", 0.1), ("half", 0.6)):
+        labels = spark.createDataFrame([(i, a < bears) for i, a in enumerate(shares)], "doc_id long, clean boolean")
+        found[name] = {r.doc_id for r in repetition.repeating(df, "doc_id", "text", "kind", labels).collect()}
+    assert found["none"] == {i for i, a in enumerate(shares) if a > 0}
+    assert found["half"] == {i for i, a in enumerate(shares) if a > 0.8}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, data, name):
     got = rows_of(queries.QUERIES[name](spark, data))
