@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy
+from tessera.operators.ordering import numbered
 
 #: Fixed value: how many ids one request may name.
 WANT = 128
@@ -34,13 +35,10 @@ def dag_levels(changes: DataFrame) -> DataFrame:
 
 
 def dag_order(changes: DataFrame) -> DataFrame:
-    """(change_id, level, created_at, place within its level): level, then time, then id in locale order.
-
-    The place is within the level, so no task orders the whole graph; a level's rows meet in one partition.
-    """
+    """(pos, change_id, level, created_at): all changes in order of level, then time, then id in locale order; a cycle's have level -1 and come first."""
     one = changes.groupBy("change_id").agg(F.min("change_header.created_at").alias("created_at"))
-    w = Window.partitionBy("level").orderBy(F.collate("created_at", "UNICODE"), F.collate("change_id", "UNICODE"))
-    return dag_levels(changes).join(one, "change_id").withColumn("place", F.row_number().over(w))
+    levels = dag_levels(changes).join(one, "change_id")
+    return numbered(levels.select("change_id", "level", "created_at"), [F.col("level"), F.collate("created_at", "UNICODE"), F.collate("change_id", "UNICODE"), F.col("change_id")])
 
 
 def heads(changes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import hierarchy
+
 
 def distinct_stories(stories: DataFrame) -> DataFrame:
     """One row per story_id, that of the smallest manifest_no."""
@@ -45,3 +47,36 @@ def chain_gaps(stories: DataFrame) -> DataFrame:
     w = Window.partitionBy("root_story_id").orderBy("revision", "story_id")
     expected = F.coalesce(F.lag("revision").over(w) + 1, F.lit(1))
     return stories.filter("root_story_id is not null").select("root_story_id", "story_id", "revision", expected.alias("expected")).filter("revision <> expected")
+
+
+def chains(stories: DataFrame) -> DataFrame:
+    """(story_id, root_id): the chain of every story by its predecessors; ``cycle`` where no order places it."""
+    nodes = stories.select(F.col("story_id").alias("node_id"), F.array("previous_story_id").alias("parents"), F.coalesce("root_story_id", "story_id").alias("family"), F.col("manifest_no").alias("nth"))
+    return hierarchy.resolve(nodes, ["family", "nth"]).select(F.col("node_id").alias("story_id"), "root_id")
+
+
+def chain_unions(stories: DataFrame) -> DataFrame:
+    """(root_id, stories, evidence, labels): how many stories a chain has, and how many distinct receipts and risk labels in all."""
+    own = chains(stories).filter(F.col("root_id") != hierarchy.CYCLE)
+    sets = stories.select("story_id", "evidence_receipt_ids", "source_risk_labels").join(own, "story_id")
+    every = sets.select("root_id", F.lit("evidence").alias("kind"), F.explode("evidence_receipt_ids").alias("x")).unionByName(sets.select("root_id", F.lit("labels").alias("kind"), F.explode("source_risk_labels").alias("x")))
+    counts = every.filter("x is not null").distinct().groupBy("root_id").agg(F.count_if(F.col("kind") == "evidence").alias("evidence"), F.count_if(F.col("kind") == "labels").alias("labels"))
+    zero = F.lit(0).cast("long")
+    return own.groupBy("root_id").agg(F.count("*").alias("stories")).join(counts, "root_id", "left").select("root_id", "stories", F.coalesce("evidence", zero).alias("evidence"), F.coalesce("labels", zero).alias("labels"))
+
+
+def verdicts(stories: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(story_id, verdict): the first thing wrong with each story of a history, ``valid`` if nothing is.
+
+    In order: cycle, missing_predecessor, fork, the violation of its link, missing_evidence, undisclosed_risk.
+    """
+    ids = stories.select("story_id", "previous_story_id")
+    lost = ids.filter("previous_story_id is not null").join(stories.select(F.col("story_id").alias("previous_story_id")), "previous_story_id", "left_anti").select("story_id", F.lit(True).alias("lost"))
+    forked = ids.join(forks(stories), "previous_story_id").select("story_id", F.lit(True).alias("forked"))
+    unproven = evidence_links(stories).join(evidence.select("receipt_id"), "receipt_id", "left_anti").select("story_id").distinct().withColumn("unproven", F.lit(True))
+    silent = undisclosed_risks(stories, evidence).select("story_id").distinct().withColumn("silent", F.lit(True))
+    out = chains(stories)
+    for more in (lost, forked, broken_links(stories), unproven, silent):
+        out = out.join(more, "story_id", "left")
+    code = F.when(F.col("root_id") == hierarchy.CYCLE, "cycle").when(F.col("lost"), "missing_predecessor")
+    return out.select("story_id", code.when(F.col("forked"), "fork").when(F.col("violation").isNotNull(), F.col("violation")).when(F.col("unproven"), "missing_evidence").when(F.col("silent"), "undisclosed_risk").otherwise("valid").alias("verdict"))

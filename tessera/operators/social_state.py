@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import list_digests
+
 
 def once(ops: DataFrame) -> DataFrame:
     """One row per op_id, that of the smallest delivery_id."""
@@ -47,3 +49,34 @@ def edges(ops: DataFrame) -> DataFrame:
 def tombstones(ops: DataFrame) -> DataFrame:
     """(object_id, op_id, reason_code) of the latest tombstone of each object."""
     return ops.filter("op_type = 'object.tombstone'").groupBy("object_id").agg(F.max_by(F.struct("op_id", "payload.reason_code"), clock()).alias("r")).select("object_id", "r.*")
+
+
+def operation_body(protocol: str) -> Column:
+    """The canonical JSON that an operation's id is the hash of; null for a type that is not one of the six."""
+    p, kind = F.col("payload"), F.col("op_type")
+
+    def body(**fields: Column) -> Column:
+        return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields.items())]), {"ignoreNullFields": "false"})
+
+    edge = {"edge": p["edge_kind"], "subject": p["subject_id"], "target": p["target_id"]}
+    told = F.when(kind == "profile.field.set", body(field=p["field_name"], value=p["new_value"]))
+    told = told.when(kind == "post.block.set", body(after=p["after_block"], blockId=p["block_id"], kind=p["block_kind"], value=p["new_value"])).when(kind == "post.block.delete", body(blockId=p["block_id"]))
+    told = told.when(kind == "edge.add", body(**edge, value=p["new_value"])).when(kind == "edge.remove", body(**edge, observedAddIds=p["observed_add_ids"])).when(kind == "object.tombstone", body(reason=p["reason_code"]))
+
+    def quoted(c: Column) -> Column:
+        return F.regexp_replace(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+
+    parts = (("actor", quoted(F.col("actor"))), ("createdAt", quoted(F.col("created_at"))), ("objectId", quoted(F.col("object_id"))), ("payload", told), ("protocol", F.to_json(F.struct(F.lit(protocol).alias("x"))).substr(F.lit(6), F.lit(len(protocol) + 2))), ("sequence", F.coalesce(F.col("op_sequence").cast("string"), F.lit("null"))), ("type", quoted(kind)), ("version", F.lit("1")))
+    return F.concat(F.lit("{"), *[x for i, (n, c) in enumerate(parts) for x in (F.lit(("," if i else "") + f'"{n}":'), c)], F.lit("}"))
+
+
+def object_states(ops: DataFrame) -> DataFrame:
+    """(object_id, operations, receipt, deleted, fields, blocks) of every object: how many distinct operations, the hash of their ids by clock, and what is current."""
+    one = ops.select(F.coalesce("object_id", F.lit("")).alias("object_id"), "op_sequence", F.collate("actor", "UNICODE").alias("actor"), F.collate("op_id", "UNICODE").alias("id"), F.regexp_replace(F.to_json(F.array("op_id")), r"^\[|\]$", "").alias("piece"))
+    out = list_digests(one, "object_id", ["op_sequence", "actor", "id"], "piece").select("object_id", F.col("n").alias("operations"), F.col("digest").alias("receipt"))
+    gone = tombstones(ops).select("object_id", F.lit(True).alias("deleted"))
+    counts = [f(ops).groupBy("object_id").agg(F.count("*").alias(n)) for f, n in ((profiles, "fields"), (blocks, "blocks"))]
+    for more in (gone, *counts):
+        out = out.join(more, "object_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("object_id", "operations", "receipt", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("fields", zero).alias("fields"), F.coalesce("blocks", zero).alias("blocks"))

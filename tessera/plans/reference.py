@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import addressed, changesets, chunking, provenance, ranking, sketches, social_state, store, transcode, validation
-from tessera.plans.core_problems import table
+from tessera.plans.core_problems import _GRAPH, table
 from tessera.session import materialize
 from tessera.sources import tables
 
@@ -219,12 +219,36 @@ def crdt_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return social_state.tombstones(_ops(spark, sf_dir))
 
 
-@_query()
+def _form(x: str, kind: str) -> str:
+    return f"coalesce(regexp_full_match({x}, '[a-z]*{kind}:v1:u[A-Za-z0-9_-]{{43}}'), false)"
+
+
+_IS_TIME = "coalesce(regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z') and try_cast({0} as timestamptz) is not null, false)"
+_BLOCK_FORM = "[a-zA-Z0-9._:-]{1,96}"
+
+
+@_query(f"""with o as (select *, payload p, octet_length(encode(payload.new_value)) b from social_ops) select case when not {_form("op_id", "op")} then 'invalid_op_id' when not {_form("actor", "id")} then 'invalid_actor' when not coalesce(op_sequence between 1 and 9007199254740991, false) then 'invalid_sequence'
+when not {_IS_TIME.format("created_at")} then 'invalid_time' when not coalesce(regexp_full_match(object_id, '(profile|post|comment|community|media|channel|message):[a-zA-Z0-9._:-]{{1,160}}'), false) then 'invalid_object_id'
+when not coalesce(op_type in ('profile.field.set', 'post.block.set', 'post.block.delete', 'edge.add', 'edge.remove', 'object.tombstone'), false) then 'invalid_type'
+when op_type = 'profile.field.set' and not (starts_with(object_id, 'profile:') and coalesce(p.field_name in ('displayName', 'handle', 'bio', 'avatar'), false)) then 'invalid_profile'
+when op_type = 'profile.field.set' and coalesce(b > (case when p.field_name = 'bio' then 2000 else 320 end) or contains(p.new_value, chr(0)), false) then 'invalid_text'
+when op_type = 'post.block.set' and not (starts_with(object_id, 'post:') or starts_with(object_id, 'comment:')) then 'invalid_post'
+when op_type = 'post.block.set' and not (coalesce(regexp_full_match(p.block_id, '{_BLOCK_FORM}'), false) and coalesce(regexp_full_match(p.after_block, '{_BLOCK_FORM}'), true) and coalesce(p.block_kind in ('text', 'media'), false)) then 'invalid_block'
+when op_type = 'post.block.set' and not coalesce(b <= (case when p.block_kind = 'text' then 32000 else 2048 end) and not contains(p.new_value, chr(0)), false) then 'invalid_text'
+when op_type = 'post.block.delete' and not coalesce(regexp_full_match(p.block_id, '{_BLOCK_FORM}'), false) then 'invalid_block'
+when op_type in ('edge.add', 'edge.remove') and not coalesce(p.edge_kind in ('follow', 'reaction', 'membership', 'bookmark'), false) then 'invalid_edge'
+when op_type in ('edge.add', 'edge.remove') and not coalesce(octet_length(encode(p.subject_id)) <= 200 and octet_length(encode(p.target_id)) <= 200, false) then 'invalid_text'
+when op_type = 'edge.add' and coalesce(b > 128, false) then 'invalid_text'
+when op_type = 'edge.remove' and not coalesce(len(p.observed_add_ids) <= 256 and len(list_filter(p.observed_add_ids, lambda x: not {_form("x", "op")})) = 0, false) then 'invalid_edge_remove'
+when op_type = 'object.tombstone' and not coalesce(p.reason_code in ('author_delete', 'moderator_hide'), false) then 'invalid_tombstone' else 'none' end violation, count(*) n from o group by 1""")
 def crdt_op_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.counted(table(spark, sf_dir, "social_ops"), validation.operation_violation())
 
 
-@_query()
+@_query(f"""with c as (select change_id, change_header h, change_header.parents ps from changes) select case when not coalesce(h.protocol <> '' and h.proto_version = 1, false) then 'unsupported_protocol' when not {_form("change_id", "change")} then 'invalid_change_id'
+when not {_form("h.space_id", "space")} or not {_form("h.author", "id")} then 'invalid_id' when not coalesce(h.kind in ('social.object.put', 'social.object.delete', 'membership.rotate', 'snapshot'), false) then 'invalid_kind' when not {_IS_TIME.format("h.created_at")} then 'invalid_time'
+when not coalesce(regexp_full_match(h.nonce, 'u[A-Za-z0-9_-]{{16}}'), false) then 'invalid_nonce' when not coalesce(len(ps) <= 32 and list_sort(list_distinct(ps)) = ps, false) then 'invalid_parents'
+when len(list_filter(ps, lambda x: not {_form("x", "change")})) > 0 then 'invalid_id' when list_contains(ps, change_id) then 'missing_or_cyclic_parent' else 'none' end violation, count(*) n from c group by 1""")
 def change_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.counted(table(spark, sf_dir, "changes"), validation.change_violation())
 
@@ -232,7 +256,8 @@ def change_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C = "c as (select change_id, any_value(change_header) h, min(delivery_id) first from changes group by 1), e as (select distinct change_id, unnest(change_header.parents) parent from changes)"
 
 
-@_query()
+@_query(f"""with recursive {_GRAPH}, l as (select id change_id, max(depth) as level from walk where k = 'change' group by 1 union all select child, -1 from doomed where k = 'change')
+select row_number() over (order by level, created_at collate en_us, change_id collate en_us, change_id) pos, change_id, level, created_at from l join (select change_id, min(change_header.created_at) created_at from changes group by 1) using (change_id)""")
 def dag_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changesets.dag_order(table(spark, sf_dir, "changes"))
 

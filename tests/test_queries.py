@@ -3,10 +3,10 @@
 import pytest
 from conftest import oracle, rows_of
 
-from tessera.plans import core_problems, reference
+from tessera.plans import core_problems, reference, replication
 
-QUERIES = {**core_problems.QUERIES, **reference.QUERIES}
-SQL = {**core_problems.SQL, **reference.SQL}
+QUERIES = {**core_problems.QUERIES, **reference.QUERIES, **replication.QUERIES}
+SQL = {**core_problems.SQL, **reference.SQL, **replication.SQL}
 _MAY_BE_EMPTY = {"lsh_near_duplicates"}  # few probes at this size; test_search_recall has its own
 _SLOW = {"store_stats", "store_depths", "store_records"}  # the same store as store_roundtrip
 
