@@ -6,6 +6,10 @@ in another fragment) and the best root inside. Only nodes that other fragments n
 form the quotient graph, which is fragmented more coarsely and solved the same way until it fits one task. The
 entries' values then return as the exits' values, and each fragment expands its own nodes.
 
+A quotient graph that has become one fragment and still does not fit, as its nodes were laid out badly, is laid out
+again by its own links; one that no layout contracts is solved round by round with joins. No task gets more than
+``fits`` rows but those of one fragment.
+
 A node that no order of its fragment can place is on a local cycle or below one; an entry that no order of the
 quotient graph can place is on a cycle across fragments or below one.
 
@@ -39,6 +43,10 @@ _CLOSED = "a long, above array<long>"
 _FRAGMENT_BITS = 33
 #: A node with more exits than this is kept in the quotient graph.
 _MOST_EXITS = 16
+#: One node in so many is a head when a graph is laid out by its links; the doubling steps reach that far and further.
+_HEADS, _JUMPS = 64, 8
+#: A layout by links that leaves more than this share of a graph did not help, and it is solved round by round.
+_SHRINK = 0.7
 #: Pairs of about one output batch.
 _PAIRS = 100_000
 CYCLE = "cycle"
@@ -217,16 +225,74 @@ def _coarse(nid: str | Column, level: int) -> Column:
     return F.shiftright(nid, _FRAGMENT_BITS + 3 * level)
 
 
-def _place(rows: DataFrame, level: int, fits: int, total: int, paths: bool, finest: int) -> DataFrame:
-    """Values (_SOLVED) of all nodes of a graph given as rows of kind n, e and c."""
-    if total <= fits or (finest >> (3 * level)) == 0:
+def _grouped(rows: DataFrame, total: int, per_fragment: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows renumbered so that nodes are near their parents, the numbers (a, old) and the number of fragments.
+
+    A sample of the nodes, chosen by a hash, and those without parents are heads; every other node follows its smallest parent
+    upwards, in doubling steps, to the next head, and nodes of one head lie together.
+    """
+    first = rows.filter("kind = 'e'").groupBy("a").agg(F.min("b").alias("up"))
+    nodes = rows.filter("kind = 'n'").select("a").distinct().join(first, "a", "left")
+    hops = materialize(nodes.select("a", F.when(F.col("up").isNull() | (F.xxhash64("a") % _HEADS == 0), F.col("a")).otherwise(F.col("up")).alias("up")), "hops")
+    for _ in range(_JUMPS):
+        further = hops.join(hops.select(F.col("a").alias("up"), F.col("up").alias("next")), "up").select("a", F.col("next").alias("up"))
+        further = materialize(further, "hops")
+        discard(hops)
+        hops = further
+    fragments = max(2, -(-total // per_fragment))
+    laid = materialize(hops.repartitionByRange(fragments, "up", "a").select(F.monotonically_increasing_id().alias("a"), F.col("a").alias("old")), "laid")
+    discard(hops)
+    moved = rows.withColumnsRenamed({"a": "old", "b": "old_b"}).join(laid, "old").join(laid.select(F.col("a").alias("b"), F.col("old").alias("old_b")), "old_b", "left")
+    return materialize(moved.select("kind", "a", "b", "w", "label", "path"), "moved"), laid, fragments
+
+
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    """Values (_SOLVED) of a graph that no layout contracts: round by round, a node once all its parents have theirs.
+
+    As many rounds as the longest way in it has steps; nothing but joins and one aggregation a round, so no task grows.
+    """
+    waiting = materialize(rows.filter("kind = 'n'").select("a", "w", "label", "path"), "waiting")
+    links = rows.filter("kind = 'e'").select("a", "b", F.col("w").alias("step"), F.col("path").alias("stretch"))
+    below = rows.filter("kind = 'c'").select("a", F.lit(True).alias("below")).distinct()
+    none = F.array().cast("array<string>")
+    done = None
+    while True:
+        if done is None:
+            ready = waiting.join(links.select("a").distinct(), "a", "left_anti").join(below, "a", "left")
+            fresh = ready.select("a", F.when(F.col("below").isNull(), F.coalesce("w", F.when(F.col("label").isNotNull(), 0))).cast("long").alias("w"), F.when(F.col("below").isNull(), F.col("label")).alias("label"), "path")
+        else:
+            known = links.join(waiting.select("a"), "a", "left_semi").join(done.select(F.col("a").alias("b"), F.col("w").alias("pw"), F.col("label").alias("pl"), F.col("path").alias("pp"), F.lit(True).alias("known")), "b", "left")
+            way = F.struct((-(F.col("step") + F.col("pw"))).alias("n"), F.concat(F.coalesce("stretch", none), F.coalesce("pp", none)).alias("path"))
+            above = known.groupBy("a").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all"), F.bool_or(F.col("known") & F.col("pw").isNull()).alias("lost"), F.min(F.when(F.col("pw").isNotNull(), way)).alias("way"), F.min("pl").alias("pl")).filter("all")
+            own = F.struct((-F.col("w")).alias("n"), F.coalesce("path", none).alias("path"))
+            best = F.least(F.when(F.col("w").isNotNull(), own), F.col("way"))
+            good = F.col("below").isNull() & ~F.coalesce("lost", F.lit(False))
+            fresh = waiting.join(above, "a").join(below, "a", "left").select("a", F.when(good, -best["n"]).alias("w"), F.when(good, F.least("label", "pl")).alias("label"), F.when(good, best["path"]).alias("path"))
+        fresh = materialize(fresh, "round")
+        if fresh.isEmpty():
+            break
+        done = fresh if done is None else materialize(done.unionByName(fresh), "done")
+        waiting = materialize(waiting.join(fresh.select("a"), "a", "left_anti"), "waiting")
+    lost = waiting.select("a", F.lit(None).cast("long").alias("w"), F.lit(CYCLE).alias("label"), F.lit(None).cast("array<string>").alias("path"))
+    return lost if done is None else done.select("a", "w", F.when(F.col("w").isNull(), F.lit(CYCLE)).otherwise(F.col("label")).alias("label"), "path").unionByName(lost)
+
+
+def _place(rows: DataFrame, level: int, fits: int, total: int, paths: bool, finest: int, laid: int | None = None) -> DataFrame:
+    """Values (_SOLVED) of all nodes of a graph given as rows of kind n, e and c. ``laid``: its size when it was last laid out by its links."""
+    if total > fits and (finest >> (3 * level)) == 0:
+        if laid is not None and total > _SHRINK * laid:
+            return _by_rounds(rows)
+        moved, numbers, fragments = _grouped(rows, total, max(1, fits // 4))
+        values = _place(moved, 0, fits, 1 << 62, paths, fragments, total)
+        return numbers.join(values, "a").select(F.col("old").alias("a"), "w", "label", "path")
+    if total <= fits:
         return rows.withColumn("frag", F.lit(0).cast("long")).groupBy("frag").applyInArrow(_solve(paths), _SOLVED)
     rows = rows.withColumn("frag", _coarse("a", level))
     across = rows.filter((F.col("kind") == "e") & (F.col("frag") != _coarse("b", level))).select("frag", F.col("b").alias("a")).distinct()
     nothing = [F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<string>").alias("path")]
     entries = across.select("a").distinct().select(_coarse("a", level).alias("frag"), F.lit("k").alias("kind"), "a", *nothing)
     quotient = materialize(rows.unionByName(entries).groupBy("frag").applyInArrow(_summary(paths), _ROWS.replace("frag long, ", "")), "quotient")
-    values = _place(quotient, level + 1, fits, quotient.count(), paths, finest)
+    values = _place(quotient, level + 1, fits, quotient.count(), paths, finest, laid)
     exits = across.join(values, "a").select("frag", F.lit("x").alias("kind"), "a", F.lit(None).cast("long").alias("b"), "w", "label", "path")
     return rows.unionByName(exits).groupBy("frag").applyInArrow(_solve(paths), _SOLVED)
 
