@@ -158,3 +158,23 @@ def test_hierarchy_of_badly_laid_out_nodes(spark, shape, monkeypatch):
     if shape == "chain":
         paths = {r.node_id: r.path for r in hierarchy.resolve(df, with_path=True, nodes_per_fragment=40, fits=30).collect()}
         assert paths == {v: (names[: i + 1] if depth[v] >= 0 else None) for i, v in enumerate(names)}
+
+
+def test_arrivals_in_many_loads(spark):
+    """Every load sees the store only; late rows turn a kept arrival into a repeat; only matching buckets are read."""
+    rng = random.Random(12)
+    rows = [(i, f"id{rng.randrange(300)}" if rng.random() < 0.9 else "hot", rng.randrange(120)) for i in range(900)] + [(1000 + i, None, 5) for i in range(5)] + [(2000 + i, f"id{i}", None) for i in range(20)]
+    df = spark.createDataFrame([(a, k, b, "x") for a, k, b in rows], "arrival long, id string, batch long, h string")
+    first = {}
+    for a, k, _ in rows:
+        if k is not None:
+            first[k] = min(a, first.get(k, a))
+    want = sorted(a for a, k, _ in rows if k is not None and a != first[k])
+    store, got = scratch_path(spark, "test-arrivals"), []
+    order = [x for x in range(6)]
+    rng.shuffle(order)
+    for n in order:
+        part = df.filter((F.coalesce(F.col("batch"), F.lit(0)) / 20).cast("int") == n)
+        got += [r[0] for r in arrivals.Arrivals(spark, store, 20).add(part, "id", "arrival", "batch").collect()]
+    assert sorted(got) == want
+    assert arrivals.Arrivals(spark, store, 20).add(df.limit(0), "id", "arrival", "batch").count() == 0
