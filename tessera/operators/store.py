@@ -2,8 +2,9 @@
 
 Resolving a chunk always yields its bytes, so the sizes of deltas depend on contents only and are computed for
 all candidate pairs at once. What depends on the order of arrival is a chunk's depth, as it limits which
-references may be used. Depths are settled in rounds: a chunk is decided once all its candidates are, so each
-round is a join, and their number is the length of the longest chain of candidates.
+references may be used. Depths are settled in rounds over fragments of the arrival order: a fragment decides, in
+order, all chunks whose candidates are known or decided before in it. A round is a join, and their number is how
+often a chain of candidates goes from one fragment to another.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, delta, sketches
+from tessera.operators.ordering import numbered
 from tessera.session import discard, materialize
 
 
+#: Fixed value: bytes that name a chunk in a manifest.
+POINTER = 32
+
+
 @dataclass(frozen=True)
 class StoreParams:
     """Chunk sizes, banding, candidates per chunk, longest chain and codec."""
@@ -67,11 +73,40 @@ def _compressed(codec_name: str):
     return run
 
 
+#: Candidate pairs of one fragment of the arrival order.
+_FACTS = 200_000
+
+
+def _decided(depth: int, tried: int):
+    """Of one fragment, in order of arrival, the depth and reference of every target all of whose candidates are known or decided before it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("seq", "ascending"), ("place", "ascending")])
+        done: dict[str, int] = {}
+        out: list[tuple] = []
+        rows: dict[str, list[tuple]] = {}
+        for target, *fact in zip(*(table.column(c).to_pylist() for c in ("target", "reference", "place", "raw_bytes", "wins", "reference_depth"))):
+            rows.setdefault(target, []).append(fact)
+        for target, facts in rows.items():
+            at = [(known if known is not None else done.get(reference), raw, reference, wins) for reference, _, raw, wins, known in facts]
+            if any(d is None for d, *_ in at):
+                continue
+            usable = [x for x in at if x[0] < depth][:tried]
+            best = min(usable, key=lambda x: (x[1], x[2]), default=None)
+            won = best is not None and best[3]
+            done[target] = best[0] + 1 if won else 0
+            out.append((target, done[target], best[2] if won else None))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["digest", "depth", "reference"])
+
+    return run
+
+
 def ingest(blobs: DataFrame, p: StoreParams = StoreParams()) -> tuple[DataFrame, DataFrame]:
     """(records, manifest) of all ``blobs`` (blob_id, seq BIGINT order of arrival, content BINARY).
 
     records: digest, seq, length, kind, payload, reference_digest, stored_bytes, chain_depth,
-    standalone_baseline_bytes. manifest: blob_id, ord, digest, length. A chunk's references come earlier.
+    standalone_baseline_bytes, candidates (similar chunks found and sized), fallbacks (of them, those whose delta did not decode to the
+    chunk); both null where no search is made. manifest: blob_id, ord, digest, length. A chunk's references come earlier.
     """
     chunks = materialize(chunking.content_chunks(blobs.select("blob_id", "seq", "content"), "content", p.sizes), "chunks")
     place = F.col("seq") * F.lit(1 << 24) + F.col("ord")
@@ -79,34 +114,30 @@ def ingest(blobs: DataFrame, p: StoreParams = StoreParams()) -> tuple[DataFrame,
     alone = materialize(one.mapInArrow(_compressed(p.codec), "digest string, seq bigint, length int, payload binary"), "alone")
     base = alone.select("digest", "seq", "length", "payload", F.octet_length("payload").alias("baseline"))
     manifest = chunks.select("blob_id", "ord", "digest", "length")
-    nothing = base.select("digest", "seq", "length", F.lit("standalone").alias("kind"), "payload", F.lit(None).cast("string").alias("reference_digest"), F.col("baseline").alias("stored_bytes"), F.lit(0).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"))
+    nothing = base.select("digest", "seq", "length", F.lit("standalone").alias("kind"), "payload", F.lit(None).cast("string").alias("reference_digest"), F.col("baseline").alias("stored_bytes"), F.lit(0).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"), F.lit(None).cast("long").alias("candidates"), F.lit(None).cast("long").alias("fallbacks"))
     if not p.tried or not p.depth:
         return nothing, manifest
     s = materialize(sketches.sketched(one.select(F.col("digest").alias("id"), "seq", F.col("bytes").alias("content")), "content", p.sketch), "sketches")
     pairs = sketches.search(s, s, p.sketch, p.search, earlier_only=True).select(F.col("probe").alias("target"), F.col("match").alias("reference"), "place")
     with_bytes = pairs.join(one.select(F.col("digest").alias("target"), F.col("bytes").alias("target_bytes")), "target").join(one.select(F.col("digest").alias("reference"), F.col("bytes").alias("reference_bytes")), "reference")
     sized = materialize(with_bytes.select("target", "reference", "place", "target_bytes", "reference_bytes").mapInArrow(_sized(p.codec), _SIZED), "deltas")
-    facts = sized.join(base.select(F.col("digest").alias("target"), "baseline"), "target").select("target", "reference", "place", "raw_bytes", (F.col("payload").isNotNull() & (F.col("stored_bytes") < F.col("baseline"))).alias("wins"))
-    waiting = materialize(facts, "waiting")
+    facts = sized.join(base.select(F.col("digest").alias("target"), "baseline", "seq"), "target").select("target", "seq", "reference", "place", "raw_bytes", (F.col("payload").isNotNull() & (F.col("stored_bytes") < F.col("baseline"))).alias("wins"))
+    whole = facts.count()
+    waiting = materialize(facts.repartitionByRange(-(-whole // _FACTS) or 1, "seq").withColumn("frag", F.spark_partition_id()), "waiting")
     settled = base.select("digest").join(waiting.select(F.col("target").alias("digest")), "digest", "left_anti").select("digest", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("reference"))
     settled = materialize(settled, "settled")
     while not waiting.isEmpty():
         known = waiting.join(settled.select(F.col("digest").alias("reference"), F.col("depth").alias("reference_depth")), "reference", "left")
-        ready = known.groupBy("target").agg(F.count_if(F.col("reference_depth").isNull()).alias("open")).filter("open = 0").select("target")
-        fit = F.col("reference_depth") < p.depth
-        nth = F.row_number().over(Window.partitionBy("target").orderBy(F.when(fit, 0).otherwise(1), "place"))
-        tried = known.join(ready, "target", "left_semi").withColumn("nth", nth).withColumn("usable", fit & (F.col("nth") <= p.tried))
-        best = tried.groupBy("target").agg(F.min_by(F.struct("reference", "wins", "reference_depth"), F.when(F.col("usable"), F.struct("raw_bytes", "reference"))).alias("b"))
-        won = F.coalesce(F.col("b.wins"), F.lit(False))
-        new = best.select(F.col("target").alias("digest"), F.when(won, F.col("b.reference_depth") + 1).otherwise(0).alias("depth"), F.when(won, F.col("b.reference")).alias("reference"))
+        new = known.select("frag", "target", "seq", "reference", "place", "raw_bytes", "wins", "reference_depth").groupBy("frag").applyInArrow(_decided(p.depth, p.tried), "digest string, depth int, reference string")
         both = materialize(settled.unionByName(new), "settled")
         rest = materialize(waiting.join(both.select(F.col("digest").alias("target")), "target", "left_anti"), "waiting")
         discard(settled, waiting)
         settled, waiting = both, rest
     picked = settled.filter("reference is not null").join(sized.select(F.col("target").alias("digest"), "reference", F.col("payload").alias("delta"), F.col("stored_bytes").alias("delta_stored")), ["digest", "reference"])
-    joined = base.join(picked, "digest", "left")
+    examined = sized.groupBy(F.col("target").alias("digest")).agg(F.count("*").alias("found"), F.count_if(F.col("payload").isNull()).alias("fallbacks"))
+    joined = base.join(picked, "digest", "left").join(examined, "digest", "left")
     has = F.col("reference").isNotNull()
-    records = joined.select("digest", "seq", "length", F.when(has, "delta").otherwise("standalone").alias("kind"), F.when(has, F.col("delta")).otherwise(F.col("payload")).alias("payload"), F.col("reference").alias("reference_digest"), F.when(has, F.col("delta_stored")).otherwise(F.col("baseline")).alias("stored_bytes"), F.coalesce("depth", F.lit(0)).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"))
+    records = joined.select("digest", "seq", "length", F.when(has, "delta").otherwise("standalone").alias("kind"), F.when(has, F.col("delta")).otherwise(F.col("payload")).alias("payload"), F.col("reference").alias("reference_digest"), F.when(has, F.col("delta_stored")).otherwise(F.col("baseline")).alias("stored_bytes"), F.coalesce("depth", F.lit(0)).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"), F.coalesce("found", F.lit(0)).cast("long").alias("candidates"), F.coalesce("fallbacks", F.lit(0)).cast("long").alias("fallbacks"))
     return materialize(records, "records"), manifest
 
 
@@ -136,11 +167,51 @@ def resolved(records: DataFrame, p: StoreParams = StoreParams()) -> DataFrame:
 
 
 def stats(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row of counters over a store."""
-    r = records.agg(F.count("*").alias("chunks"), F.count_if(F.col("kind") == "delta").alias("deltas"), F.count_if(F.col("kind") == "standalone").alias("standalone"), F.coalesce(F.sum(F.col("stored_bytes").cast("long")), F.lit(0)).alias("stored_bytes"), F.coalesce(F.sum(F.col("standalone_baseline_bytes").cast("long")), F.lit(0)).alias("dedup_only_bytes"), F.coalesce(F.max("chain_depth"), F.lit(0)).alias("max_depth"))
-    m = manifest.agg(F.count("*").alias("chunk_refs"), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)).alias("input_bytes"))
-    out = m.join(F.broadcast(r))
-    return out.withColumn("manifest_bytes", F.col("chunk_refs") * 32).withColumn("exact_hits", F.col("chunk_refs") - F.col("chunks")).withColumn("ratio", F.when(F.col("stored_bytes") == 0, 1.0).otherwise(F.round(F.col("input_bytes") / F.when(F.col("stored_bytes") > 0, F.col("stored_bytes")), 6)))
+    """One row of counters over a store; its ratio is 1 where nothing is stored."""
+    zero = F.lit(0).cast("long")
+    r = records.agg(F.count("*").alias("unique_chunks"), F.count_if(F.col("kind") == "delta").alias("delta_chunks"), F.count_if(F.col("kind") == "standalone").alias("standalone_chunks"), F.coalesce(F.sum(F.col("stored_bytes").cast("long")), zero).alias("stored_bytes"), F.coalesce(F.sum(F.col("standalone_baseline_bytes").cast("long")), zero).alias("dedup_only_bytes"), F.coalesce(F.max("chain_depth"), F.lit(0)).alias("max_chain_depth"), F.count("candidates").alias("similarity_queries"), F.coalesce(F.sum("candidates"), zero).alias("candidates_examined"), F.coalesce(F.sum("fallbacks"), zero).alias("verification_fallbacks"))
+    m = manifest.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.col("length").cast("long")), zero).alias("ingested_bytes"))
+    out = m.join(F.broadcast(r)).withColumn("manifest_bytes", F.col("chunks") * POINTER)
+    return out.withColumns({
+        "exact_hits": F.col("chunks") - F.col("unique_chunks"),
+        "delta_bytes_saved": F.col("dedup_only_bytes") - F.col("stored_bytes"),
+        "stored_bytes_with_manifest": F.col("stored_bytes") + F.col("manifest_bytes"),
+        "effective_ratio": F.when(F.col("stored_bytes") == 0, 1.0).otherwise(F.round(F.col("ingested_bytes") / F.when(F.col("stored_bytes") > 0, F.col("stored_bytes")), 6)),
+        "mean_candidates_per_query": F.when(F.col("similarity_queries") == 0, 0.0).otherwise(F.round(F.col("candidates_examined") / F.when(F.col("similarity_queries") > 0, F.col("similarity_queries")), 6)),
+        "index_size": F.col("unique_chunks"),
+    })
+
+
+def chain_faults(records: DataFrame, depth: int) -> DataFrame:
+    """(digest, fault): the records whose chain of references does not end at a whole chunk within ``depth`` steps.
+
+    ``records``: digest, kind, reference_digest, one row per digest. fault: ``missing_reference`` (a record named on the way is not
+    there, or a delta names none), ``cycle`` (a record is met again), ``too_deep``. ``depth`` joins at most; a chain is followed by its
+    ids only. A record that is whole ends its chain, whatever it names.
+    """
+    links = records.select(F.col("digest").alias("at"), F.when(F.col("kind") == "delta", F.coalesce("reference_digest", F.lit(""))).alias("next"), F.lit(True).alias("there"))
+    way = records.select("digest", F.col("digest").alias("at"), F.array("digest").alias("seen"))
+    faults = []
+    for step in range(depth + 1):
+        told = way.join(links, "at", "left")
+        faults.append(told.filter("there is null").select("digest", F.lit("missing_reference").alias("fault")))
+        further = told.filter("next is not null")
+        again = F.array_contains("seen", F.col("next"))
+        faults.append(further.filter(again).select("digest", F.lit("cycle").alias("fault")))
+        further = further.filter(~again)
+        if step == depth:
+            faults.append(further.select("digest", F.lit("too_deep").alias("fault")))
+        else:
+            way = materialize(further.select("digest", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen")), "chains")
+    out = faults[0]
+    for f in faults[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def listed(records: DataFrame) -> DataFrame:
+    """(pos, digest): the stored digests in order of their arrival."""
+    return numbered(records.select("seq", "digest"), [F.col("seq"), F.col("digest")]).select("pos", "digest")
 
 
 def depth_histogram(records: DataFrame, depth: int) -> DataFrame:

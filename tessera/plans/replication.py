@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import time_ms, typed_id
-from tessera.operators import accounting, provenance, replication, social_state, validation
+from tessera.operators import accounting, provenance, replication, social_state, store, validation
 from tessera.operators.ordering import list_digests
 from tessera.plans.core_problems import _GRAPH, table
-from tessera.plans.reference import _CLOCK, _LACK, _OPS, _S, _ops, _replicas, _stories
+from tessera.plans.reference import _CLOCK, _DOC, _LACK, _OPS, _S, _ops, _replicas, _stories, _whole
 
 QUERIES, SQL = {}, {}
 
@@ -171,3 +171,20 @@ def compression_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "chunk_records").filter("chunk_length is not null").groupBy("kind").agg(F.sum("chunk_length").cast("double").alias("raw"), F.sum("stored_bytes").cast("double").alias("stored"), F.sum("standalone_baseline_bytes").cast("double").alias("alone"), F.count("*").alias("n"))
     ours, base, seconds = accounting.ratio(F.col("raw"), F.col("stored")), accounting.ratio(F.col("raw"), F.col("alone")), (F.col("n") + 1) / 1000
     return r.select("kind", "n", F.round(ours, 6).alias("ratio"), F.round(base, 6).alias("base_ratio"), F.round(accounting.score(ours, seconds, base, F.col("n") * 2 / 1000), 6).alias("score"), F.round(accounting.throughput(F.col("raw"), seconds), 3).alias("bytes_per_second"))
+
+
+@_query("""with recursive c as (select lower(digest) digest, arg_min({k: kind, r: lower(reference_digest)}, record_no) x from chunk_records group by 1),
+way as (select digest, digest as at, [digest] seen, 0 step from c union all select w.digest, coalesce(c.x.r, ''), list_append(seen, coalesce(c.x.r, '')), step + 1 from way w join c on c.digest = w.at where c.x.k = 'delta' and not list_contains(seen, coalesce(c.x.r, '')) and step < 4)
+select w.digest, case when c.digest is null then 'missing_reference' when list_contains(seen, coalesce(c.x.r, '')) then 'cycle' else 'too_deep' end fault from way w left join c on c.digest = w.at
+where c.digest is null or (c.x.k = 'delta' and (list_contains(seen, coalesce(c.x.r, '')) or step = 4))""")
+def chunk_chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, each by its first record, that cannot be resolved within four references."""
+    c = table(spark, sf_dir, "chunk_records").withColumn("digest", F.lower("digest"))
+    one = c.groupBy("digest").agg(F.min_by(F.struct("kind", F.lower("reference_digest").alias("reference_digest")), "record_no").alias("r")).select("digest", "r.*")
+    return store.chain_faults(one, 4)
+
+
+@_query(f"with {_DOC} select row_number() over (order by min(doc_id), digest) pos, digest from d group by digest")
+def doc_digest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct texts' digests in order of their first document."""
+    return store.listed(_whole(spark, sf_dir).groupBy("digest").agg(F.min("doc_id").alias("seq")))

@@ -8,10 +8,9 @@ from tessera.plans import core_problems, reference, replication
 QUERIES = {**core_problems.QUERIES, **reference.QUERIES, **replication.QUERIES}
 SQL = {**core_problems.SQL, **reference.SQL, **replication.SQL}
 _MAY_BE_EMPTY = {"lsh_near_duplicates"}  # few probes at this size; test_search_recall has its own
-_SLOW = {"store_stats", "store_depths", "store_records"}  # the same store as store_roundtrip
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in _SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, data, name):
     got = rows_of(QUERIES[name](spark, data))
     if name in SQL:
