@@ -338,8 +338,12 @@ def _inside(spokes: DataFrame, home: DataFrame, near: float) -> DataFrame:
     return pairs.filter(F.abs(F.col("da") - F.col("db")) <= near + _EPS).select("a", "b", (F.col("da") + F.col("db") <= near - _EPS).alias("sure"))
 
 
-def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """(a, b): all pairs of ``contents`` (id, content) within the distance, each once."""
+def _joined(contents: DataFrame, rows: int, threshold: float, links: bool = False) -> DataFrame:
+    """(a, b): all pairs of ``contents`` (id, content) within the distance, each once.
+
+    With ``links`` without those of two contents that are both linked to their pivot anyway: as many as a region has members, and the
+    same groups.
+    """
     spark, near = contents.sparkSession, 1.0 - threshold
     reach = near / 3
     order, results, active = None, [], contents
@@ -369,7 +373,8 @@ def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
         home = spokes.filter(F.col("window") & (F.col("d") <= reach)).groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", F.col("b").alias("p"))).alias("h")).select("id", "h.p", "h.d")
         home = materialize(home, "regions")
         pairs = materialize(_inside(spokes, home, near), "inside")
-        results.append(pairs.filter("sure").select("a", "b"))
+        if not links:
+            results.append(pairs.filter("sure").select("a", "b"))
         results.append(measured(pairs.filter("not sure").select("a", "b"), contents).filter(F.col("d") <= near + _EPS).select("a", "b"))
         free = materialize(roles.filter(F.col("role") == _MEMBER).select("id").join(home, "id", "left_anti"), "free")
         discard(roles, home)
@@ -383,9 +388,11 @@ def _joined(contents: DataFrame, rows: int, threshold: float) -> DataFrame:
     return materialize(out, "near")
 
 
-def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7) -> DataFrame:
+def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7, links: bool = False) -> DataFrame:
     """(key_a, key_b) with key_a < key_b: all pairs of different keys whose contents' similarity is at least ``threshold``.
 
+    With ``links`` only as many of them as connect the same groups, for groups().
+
     ``key`` STRING, ``content`` BINARY; rows with a null in either are left out, of several contents of one key
     the smallest counts. Contents shorter than 8 bytes have no runs and no pairs. Other columns are ignored.
     Exact: nothing is sampled or capped; hashes of runs only propose pairs, which are measured on the runs
@@ -393,7 +400,7 @@ def near_pairs(docs: DataFrame, key: str, content: str, threshold: float = 0.7)
     """
     one = docs.select(F.col(key).alias("key"), F.col(content).alias("content")).filter("key is not null and content is not null").groupBy("key").agg(F.min("content").alias("content"))
     laid = materialize(one.select(F.monotonically_increasing_id().alias("id"), "key", "content"), "contents")
-    result = _joined(laid.select("id", "content"), laid.count(), threshold)
+    result = _joined(laid.select("id", "content"), laid.count(), threshold, links)
     name = laid.select("id", "key")
     named = result.join(name.select(F.col("id").alias("a"), F.col("key").alias("k")), "a").join(name.select(F.col("id").alias("b"), F.col("key").alias("l")), "b")
     return named.select(F.least("k", "l").alias("key_a"), F.greatest("k", "l").alias("key_b"))

@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every chunk that has an edited version, named by the group's smallest digest."""
-    return neardup.groups(p2_found(spark, sf_dir), "digest_a", "digest_b").withColumnsRenamed({"key": "digest", "group_key": "group_digest"})
+    return neardup.groups(neardup.near_pairs(_chunks(spark, sf_dir), "digest", "payload", links=True)).withColumnsRenamed({"key": "digest", "group_key": "group_digest"})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,29 @@ r as (select doc_id, greatest(len(words) - 5, 0) runs, list_transform(range(1, g
 s as (select doc_id, runs::bigint runs, case when runs > 0 then (runs - len(list_distinct(run))) / runs::double else 0.0 end share from r)
 """
 
+_PAIRS = """
+c as (select lower(digest) digest, min(hex(payload)) x from chunk_records where payload is not null and digest is not null group by 1),
+r as (select distinct digest, substr(x, 2 * i + 1, 16) run from (select digest, x, unnest(range(0, length(x) // 2 - 7)) i from c)),
+n as (select digest, count(*) n from r group by 1),
+met as (select a.digest digest_a, b.digest digest_b, count(*) shared from r a join r b on a.run = b.run and a.digest < b.digest group by 1, 2),
+pairs as (select digest_a, digest_b from met join n na on na.digest = digest_a join n nb on nb.digest = digest_b where shared >= 0.7 * (na.n + nb.n - shared))
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"with {_PAIRS} select digest_a, digest_b from pairs",
+    "p2_groups": f"""
+with recursive {_PAIRS}, e as (select digest_a a, digest_b b from pairs union select digest_b, digest_a from pairs),
+reach as (select a, a b from e union select r.a, e.b from reach r join e on e.a = r.b)
+select a digest, min(b) group_digest from reach group by 1
+""",
+    "p6_found": f"""
+with {_PAIRS}, held as (select distinct batch_no, lower(digest) digest from chunk_records where digest is not null and batch_no is not null),
+come as (select * from held union select batch_no, lower(d) from (select batch_no, unnest(chunk_digests) d from ingest_receipts) where d is not null and batch_no is not null),
+first as (select digest, min(batch_no) b from come group by 1), stored as (select digest, min(batch_no) b from held group by 1),
+near as (select digest_a d, digest_b e from pairs union all select digest_b, digest_a from pairs)
+select batch_no, digest from come join first using (digest) where batch_no > b
+union select h.batch_no, h.digest from held h join near on near.d = h.digest join stored s on s.digest = near.e where s.b < h.batch_no
+""",
     "p5_found": """
 with l as (select object_id, arg_max({a: author_id, c: created_at, s: evidence_score}, item_no) r from feed_items where object_id is not null group by 1)
 select object_id from l where r.a is not null
