@@ -169,16 +169,16 @@ def resolved(records: DataFrame, p: StoreParams = StoreParams()) -> DataFrame:
 def stats(records: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row of counters over a store; its ratio is 1 where nothing is stored."""
     zero = F.lit(0).cast("long")
-    r = records.agg(F.count("*").alias("unique_chunks"), F.count_if(F.col("kind") == "delta").alias("delta_chunks"), F.count_if(F.col("kind") == "standalone").alias("standalone_chunks"), F.coalesce(F.sum(F.col("stored_bytes").cast("long")), zero).alias("stored_bytes"), F.coalesce(F.sum(F.col("standalone_baseline_bytes").cast("long")), zero).alias("dedup_only_bytes"), F.coalesce(F.max("chain_depth"), F.lit(0)).alias("max_chain_depth"), F.count("candidates").alias("similarity_queries"), F.coalesce(F.sum("candidates"), zero).alias("candidates_examined"), F.coalesce(F.sum("fallbacks"), zero).alias("verification_fallbacks"))
-    m = manifest.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.col("length").cast("long")), zero).alias("ingested_bytes"))
-    out = m.join(F.broadcast(r)).withColumn("manifest_bytes", F.col("chunks") * POINTER)
+    r = records.agg(F.count("*").alias("chunks"), F.count_if(F.col("kind") == "delta").alias("deltas"), F.count_if(F.col("kind") == "standalone").alias("standalone"), F.coalesce(F.sum(F.col("stored_bytes").cast("long")), zero).alias("stored_bytes"), F.coalesce(F.sum(F.col("standalone_baseline_bytes").cast("long")), zero).alias("dedup_only_bytes"), F.coalesce(F.max("chain_depth"), F.lit(0)).alias("max_depth"), F.count("candidates").alias("similarity_queries"), F.coalesce(F.sum("candidates"), zero).alias("candidates_examined"), F.coalesce(F.sum("fallbacks"), zero).alias("verification_fallbacks"))
+    m = manifest.agg(F.count("*").alias("chunk_refs"), F.coalesce(F.sum(F.col("length").cast("long")), zero).alias("input_bytes"))
+    out = m.join(F.broadcast(r)).withColumn("manifest_bytes", F.col("chunk_refs") * POINTER)
     return out.withColumns({
-        "exact_hits": F.col("chunks") - F.col("unique_chunks"),
+        "exact_hits": F.col("chunk_refs") - F.col("chunks"),
         "delta_bytes_saved": F.col("dedup_only_bytes") - F.col("stored_bytes"),
         "stored_bytes_with_manifest": F.col("stored_bytes") + F.col("manifest_bytes"),
-        "effective_ratio": F.when(F.col("stored_bytes") == 0, 1.0).otherwise(F.round(F.col("ingested_bytes") / F.when(F.col("stored_bytes") > 0, F.col("stored_bytes")), 6)),
+        "ratio": F.when(F.col("stored_bytes") == 0, 1.0).otherwise(F.round(F.col("input_bytes") / F.when(F.col("stored_bytes") > 0, F.col("stored_bytes")), 6)),
         "mean_candidates_per_query": F.when(F.col("similarity_queries") == 0, 0.0).otherwise(F.round(F.col("candidates_examined") / F.when(F.col("similarity_queries") > 0, F.col("similarity_queries")), 6)),
-        "index_size": F.col("unique_chunks"),
+        "index_size": F.col("chunks"),
     })
 
 

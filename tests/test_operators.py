@@ -120,3 +120,14 @@ def test_all_matches_of_a_large_group(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - j) < 1e-9 for k, j in want.items())
     assert sum(a == 0 for a, _ in got) > 512 and sketches.search(probes, s).filter("probe = 0").count() == 4
     assert sketches.all_matches(probes.limit(0), s).count() == 0
+
+
+def test_store_counters_and_chain_faults(spark):
+    records, manifest = store.ingest(blobs(spark), store.StoreParams(sizes=chunking.ChunkSizes(64, 256, 1024)))
+    s, rows = store.stats(records, manifest).first(), records.collect()
+    assert s.similarity_queries == s.index_size == len(rows) and s.candidates_examined == sum(r.candidates for r in rows) and s.verification_fallbacks == 0
+    assert s.delta_bytes_saved == sum(r.standalone_baseline_bytes - r.stored_bytes for r in rows) and s.stored_bytes_with_manifest == s.stored_bytes + 32 * s.chunk_refs
+    chain = [("a", "standalone", None), ("b", "delta", "a"), ("c", "delta", "b"), ("d", "delta", "c"), ("e", "delta", "x"), ("f", "delta", None), ("g", "delta", "h"), ("h", "delta", "g"), ("i", "delta", "i"), ("j", "standalone", "x")]
+    got = {r.digest: r.fault for r in store.chain_faults(spark.createDataFrame(chain, "digest string, kind string, reference_digest string"), 2).collect()}
+    assert got == {"d": "too_deep", "e": "missing_reference", "f": "missing_reference", "g": "cycle", "h": "cycle", "i": "cycle"}
+    assert [r.digest for r in store.listed(records).orderBy("pos").collect()] == [r.digest for r in sorted(rows, key=lambda r: (r.seq, r.digest))]
