@@ -142,9 +142,9 @@ def test_hierarchy_of_badly_laid_out_nodes(spark, shape, monkeypatch):
     from tessera.operators import hierarchy
 
     rng = random.Random(shape)
-    n = 1_500 if shape != "chain" else 240
+    n = 500 if shape != "chain" else 120
     names = [f"{rng.getrandbits(60):015x}" for _ in range(n)]
-    up = {names[i]: ([] if i == 0 else [names[i - 1]] if shape == "chain" else [names[rng.randrange(max(0, i - 300), i)] for _ in range(1 + (shape == "dag") * rng.randrange(3))]) for i in range(n)}
+    up = {names[i]: ([] if i == 0 else [names[i - 1]] if shape == "chain" else [names[rng.randrange(max(0, i - 100), i)] for _ in range(1 + (shape == "dag") * rng.randrange(3))]) for i in range(n)}
     up[names[n // 2]].append(names[n // 2])  # a ring, and what hangs from it
     depth, root = {}, {}
     for v in names:
@@ -153,10 +153,10 @@ def test_hierarchy_of_badly_laid_out_nodes(spark, shape, monkeypatch):
         depth[v] = -1 if lost else max((depth[p] + 1 for p in ps), default=0)
         root[v] = "cycle" if lost else min((root[p] for p in ps), default=v)
     df = spark.createDataFrame(list(up.items()), "node_id string, parents array<string>")
-    got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.resolve(df, nodes_per_fragment=100, fits=200).collect()}
+    got = {r.node_id: (r.root_id, r.node_depth) for r in hierarchy.resolve(df, nodes_per_fragment=50, fits=120).collect()}
     assert got == {v: (root[v], depth[v]) for v in names}
     if shape == "chain":
-        paths = {r.node_id: r.path for r in hierarchy.resolve(df, with_path=True, nodes_per_fragment=40, fits=30).collect()}
+        paths = {r.node_id: r.path for r in hierarchy.resolve(df, with_path=True, nodes_per_fragment=40, fits=80).collect()}
         assert paths == {v: (names[: i + 1] if depth[v] >= 0 else None) for i, v in enumerate(names)}
 
 
