@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import oracle, rows_of
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def test_near_pairs(spark, seed, hot):
     assert neardup.near_pairs(df.limit(0), "k", "c").count() == 0
 
 
+def test_near_pairs_in_many_bands_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BAND_BYTES", 5_000)
+    docs = families(5, hot=30)
+    df = spark.createDataFrame(docs, "k string, c binary")
+    bands = neardup._bands(df.select(F.col("c").alias("content")))
+    passes = neardup._passes(bands, 0.7, 0.1)
+    assert len(bands) > 4 and len(passes) > 1 and [b for p in passes for b in p] == list(range(len(bands)))
+    got = {(r.key_a, r.key_b) for r in neardup.near_pairs(df, "k", "c").collect()}
+    assert got == true_pairs(docs)
+
+
+def test_more_bands_propose_no_more_unlike_pairs():
+    rng = random.Random(6)
+    shared = [rng.randbytes(8) for _ in range(60)]
+    docs = [rng.randbytes(rng.randrange(150, 400)) + b"".join(rng.sample(shared, 3)) for _ in range(300)]  # any two share a run or so
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(docs, pa.binary())], names=["id", "content"])
+    order, none = np.arange(neardup._COUNTERS, dtype=np.uint64), np.zeros(0, np.int64)
+    for bands in (np.array([0]), np.arange(0, 400, 10)):
+        posted = list(neardup._postings(order, 0.7, 0.1, bands, range(len(bands)), (none, none))([batch]))
+        assert sum(b.num_rows for b in neardup._meet(0.7, 0.1, bands)(posted)) < 30
+
+
+def test_blocks_keep_their_columns():
+    ids, label, size = np.array([5, 9, 2**40]), np.array([-7, 2, 2**31 - 1]), np.array([0, 70_000, 3])
+    count, token = np.array([1, 0, 300]), np.arange(301, dtype=np.uint32) * np.uint32(9_000_001)
+    block = neardup.packed(ids, label, size, count, token)
+    got = neardup.read_blocks(pa.array([block, block], pa.binary()))
+    want = (np.tile(ids, 2), np.tile(label, 2), np.tile(size, 2), np.repeat(np.arange(6), np.tile(count, 2)), np.tile(token >> np.uint32(1), 2), np.tile(token & np.uint32(1), 2) > 0)
+    assert all((x == y).all() for x, y in zip(got, want))
+    assert not any(len(x) for x in neardup.read_blocks(pa.array([], pa.binary())))
+
+
 def test_groups(spark):
     pairs = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("hub", f"x{i:02d}") for i in range(50)] + [("p", "q"), ("p", "q")]
     got = {r.key: r.group_key for r in neardup.groups(spark.createDataFrame(pairs, "key_a string, key_b string")).collect()}
