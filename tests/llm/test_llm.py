@@ -319,6 +319,14 @@ def test_repetition(spark):
     assert repetition.repeating(df.limit(0), "doc_id", "text", "kind").count() == 0
 
 
+def test_cutoffs_come_from_all_documents(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(None if i % 7 == 0 else i // 2, " ".join(words[:30]) if i % 10 else " ".join(words[:10]) * 4, "k") for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = repetition.cutoffs_for(repetition.scored_for(df, "doc_id", "text", "kind"), "doc_id", "kind").first()
+    assert (got.clean, got.repeated, got.caught, got.rejected, got.certified) == (5_400, 600, 600, 0, True)
+
+
 def test_certified_cutoffs(spark):
     from math import comb
 
