@@ -201,6 +201,36 @@ def test_history_of_many_loads_merges_and_recalls_every_edited_copy(spark, monke
     assert {x for x in got if x[1] != "lost"} == want and len(want) > 70
 
 
+def proposed(docs, parts):
+    """The pairs that the fingerprints of some contents, each of a batch of its own, propose, and in how many rows."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.binary()), pa.array(range(len(docs))), pa.array([True] * len(docs))], names=["id", "content", "batch", "asks"])
+    counts = next(history._run_counts([batch])).column("counts")[0].as_py()
+    blocks = list(history._postings(neardup.rarer_first(np.frombuffer(counts, np.int64)), 0.7, parts)([batch]))
+    rows = [pa.RecordBatch.from_arrays([b.column("part"), pa.array([0] * b.num_rows), b.column("block")], names=["part", "kind", "block"]) for b in blocks]
+    out = [r for b in history._lookup(0.7, parts, False, 400)(rows) for r in b.to_pylist()]
+    return {(r["b"], r["a"]) for r in out}, len(out)
+
+
+def test_contents_of_few_words_propose_few_unlike_pairs():
+    rng = random.Random(7)
+    words = [rng.randbytes(rng.randrange(5, 12)) for _ in range(40)]
+    docs = [b"".join(rng.choice(words) for _ in range(rng.randrange(15, 60))) for _ in range(400)]
+    docs += [edited(rng, d, 1) for d in docs[:40]]
+    pairs = {(int(a), int(b)) for a, b in true_pairs([(f"{i:03d}", d) for i, d in enumerate(docs)])}
+    found, rows = proposed(docs, 256)
+    assert pairs <= found and len(pairs) >= 40 and rows < 40_000
+
+
+@pytest.mark.parametrize("t", [0.05, 0.3, 0.7, 0.95])
+def test_reach_covers_every_partner(t):
+    for n in [*range(1, 60), 480]:
+        posted = int(history._posted(np.array([n]), t)[0])
+        for m in range(max(1, int(np.ceil(t * n - 1e-9))), min(int(n / t + 1e-9), 3_000) + 1):
+            both = int(np.ceil(t / (1 + t) * (n + m) - 1e-9))
+            last = min(n - 1, n - both + int(history._further(t) * min(n, m)))  # of the places that count
+            assert last < posted and history._reach(np.array([n]), np.array([last]), t)[0] >= m
+
+
 @pytest.mark.parametrize("capacity", [1, 7, 64, 256])
 def test_packing(spark, capacity):
     rng = random.Random(capacity)
