@@ -201,13 +201,14 @@ def test_history_of_many_loads_merges_and_recalls_every_edited_copy(spark, monke
     assert {x for x in got if x[1] != "lost"} == want and len(want) > 70
 
 
-def proposed(docs, parts):
+def proposed(docs, bands):
     """The pairs that the fingerprints of some contents, each of a batch of its own, propose, and in how many rows."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.binary()), pa.array(range(len(docs))), pa.array([True] * len(docs))], names=["id", "content", "batch", "asks"])
     counts = next(history._run_counts([batch])).column("counts")[0].as_py()
-    blocks = list(history._postings(neardup.rarer_first(np.frombuffer(counts, np.int64)), 0.7, parts)([batch]))
-    rows = [pa.RecordBatch.from_arrays([b.column("part"), pa.array([0] * b.num_rows), b.column("block")], names=["part", "kind", "block"]) for b in blocks]
-    out = [r for b in history._lookup(0.7, parts, False, 400)(rows) for r in b.to_pylist()]
+    blocks = history._postings(neardup.rarer_first(np.frombuffer(counts, np.int64)), 0.7)([batch])
+    spread = list(history._spread(bands, range(len(bands)), 0.7)(blocks))
+    rows = [pa.RecordBatch.from_arrays([b.column("part"), pa.array([0] * b.num_rows), b.column("block")], names=["part", "kind", "block"]) for b in spread]
+    out = [r for b in history._lookup(0.7, bands, False, 400)(rows) for r in b.to_pylist()]
     return {(r["b"], r["a"]) for r in out}, len(out)
 
 
@@ -217,8 +218,24 @@ def test_contents_of_few_words_propose_few_unlike_pairs():
     docs = [b"".join(rng.choice(words) for _ in range(rng.randrange(15, 60))) for _ in range(400)]
     docs += [edited(rng, d, 1) for d in docs[:40]]
     pairs = {(int(a), int(b)) for a, b in true_pairs([(f"{i:03d}", d) for i, d in enumerate(docs)])}
-    found, rows = proposed(docs, 256)
-    assert pairs <= found and len(pairs) >= 40 and rows < 40_000
+    for bands in (np.array([0]), np.arange(0, 500, 20)):
+        found, rows = proposed(docs, bands)
+        assert pairs <= found and len(pairs) >= 40 and rows < 10_000
+
+
+def test_history_in_many_bands_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(history, "_BAND_BYTES", 5_000)
+    docs = families(5, hot=20)
+    rng = random.Random(6)
+    rows = [(rng.randrange(4), k, d) for k, d in docs]
+    content, none = spark.createDataFrame(rows, "batch long, digest string, content binary"), spark.createDataFrame([], "batch long, digest string")
+    path, got = scratch_path(spark, "test-history"), set()
+    for low, high in ((0, 1), (2, 3)):
+        store = history.History(spark, path)
+        got |= {(r.batch, r.digest) for r in store.add(content.filter(F.col("batch").between(low, high)), none).collect()}
+    passes = history._passes(store.bands, 0.7)
+    assert len(store.bands) > 4 and len(passes) > 1 and [b for p in passes for b in p] == list(range(len(store.bands)))
+    assert got == known(rows, true_pairs(docs))
 
 
 @pytest.mark.parametrize("t", [0.05, 0.3, 0.7, 0.95])
