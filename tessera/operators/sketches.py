@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.u32 import np_mix32, words
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 # Seeds of the window table, of the strata and of the band keys.
 TABLE_SEED, STRATUM_SALT, BAND_SEED = 0x574B5344, 0x574B5354, 0x574B4244
@@ -111,15 +111,15 @@ def exact_jaccard(a: Column, b: Column) -> Column:
 def keys_of(lists: np.ndarray, owner: np.ndarray, p: SketchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, band, key) of features given flat with their owners, features ascending within an owner."""
     band = np_mix32(lists ^ np.uint32(STRATUM_SALT)) % np.uint32(p.bands)
-    order = np.lexsort((lists, band, owner))
-    lists, owner, band = lists[order], owner[order], band[order]
+    sorts = np.sort((owner.astype(np.uint64) * np.uint64(p.bands) + band) << np.uint64(32) | lists)  # one word: owner, band, feature
+    lists, owner, band = sorts.astype(np.uint32), (sorts >> np.uint64(32)) // np.uint64(p.bands), ((sorts >> np.uint64(32)) % np.uint64(p.bands)).astype(np.uint32)
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]))) if len(lists) else np.zeros(0, np.int64)
     arity = np.minimum(np.diff(np.append(first, len(lists))), p.rows)
     key = np_mix32(np_mix32(np.uint32(BAND_SEED) ^ band[first]) ^ arity.astype(np.uint32))
     for r in range(p.rows):
         has = arity > r
         key[has] = np_mix32(key[has] ^ lists[first[has] + r])
-    return owner[first], band[first].astype(np.int32), key.astype(np.int64)
+    return owner[first].astype(np.int64), band[first].astype(np.int32), key.astype(np.int64)
 
 
 def band_keys(sketches: DataFrame, p: SketchParams = SketchParams(), id_cols: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -172,3 +172,157 @@ def all_matches(probes: DataFrame, index: DataFrame, p: SketchParams = SketchPar
     scored = met.join(groups.select(F.col("group").alias("ga"), F.col("features").alias("fa")), "ga").join(groups.select(F.col("group").alias("gb"), F.col("features").alias("fb")), "gb").select("ga", "gb", jaccard(F.col("fa"), F.col("fb")).alias("jaccard")).filter(F.col("jaccard") >= least)
     asking, held = members.filter("asks").select(F.col("group").alias("ga"), F.col("id").alias("probe")), members.filter(~F.col("asks")).select(F.col("group").alias("gb"), F.col("id").alias("match"))
     return scored.join(asking, "ga").join(held, "gb").filter("probe <> match").select("probe", "match", "jaccard")
+
+
+#: Bytes of postings that one pass of earlier_matches() is meant to shuffle; there are at most as many passes as bands.
+_PASS = 96 << 20
+#: Pairs that are scored at once.
+_AT_ONCE = 1 << 15
+_MET = "probe bigint, band int, taken int, found int, hits array<struct<nth:int,match:bigint,jaccard:double>>"
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of packed sketches one after another, and how many each has."""
+    lists = lists.cast(pa.large_binary()) if not pa.types.is_large_binary(lists.type) else lists
+    at = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    data = lists.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint32) if data is not None and len(at) and at[-1] > at[0] else np.zeros(0, np.uint32), np.diff(at) // 4
+
+
+def _estimates(fa: np.ndarray, na: np.ndarray, fb: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, estimates) of those pairs of padded sketches that have at least ``least``."""
+    both = np.concatenate([fa, fb], axis=1)
+    both.sort(axis=1)
+    k, at = np.maximum(np.minimum(na, nb), 1), np.arange(1, both.shape[1])
+    same = both[:, 1:] == both[:, :-1]
+    short = np.flatnonzero(na + nb < both.shape[1])
+    same[short] &= at < (na + nb)[short, None]  # the rest is padding
+    rows = np.flatnonzero(same.sum(axis=1) / k >= least)
+    same, k = same[rows], k[rows]
+    place = at - 1 - (np.cumsum(same, axis=1) - same)  # in the union, ascending
+    estimate = (same & (place < k[:, None])).sum(axis=1) / k
+    good = estimate >= least
+    return rows[good], estimate[good]
+
+
+def _met(p: SketchParams, q: SearchParams):
+    """Of postings ordered by key, arrival and id: what each asking posting newly meets among the earliest of its key, and the hits of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            fresh = np.ones(len(t), bool)
+            if held is not None:
+                fresh = np.append(np.zeros(len(held), bool), fresh)
+                t = pa.concat_tables([held, t]).combine_chunks()
+            key, seq, who, band, taken = (t.column(c).to_numpy() for c in ("band_key", "seq", "id", "band", "taken"))
+            n = len(t)
+            lists, size = _flat(t.column("features").combine_chunks())
+            owner = np.repeat(np.arange(n), size)
+            feats = np.full((n, p.size), 0xFFFFFFFF, np.uint32)
+            feats[owner, np.arange(len(lists)) - np.repeat(np.cumsum(size) - size, size)] = lists
+            o, b, k = keys_of(lists, owner, p)
+            keys, there = np.zeros((n, p.bands), np.uint32), np.zeros((n, p.bands), bool)
+            keys[o, b], there[o, b] = k.astype(np.uint32), True
+            mixed = np.array([min(x) if x else p.bands for x in t.column("mixed").to_pylist()])
+            new_key = np.append(True, key[1:] != key[:-1])
+            new_seq = new_key | np.append(True, seq[1:] != seq[:-1])
+            index = new_seq | np.append(True, who[1:] != who[:-1])  # a row whose two bands have one key is held once
+            before = np.append(0, np.cumsum(index))
+            group = np.maximum.accumulate(np.where(new_key, np.arange(n), 0))
+            tie = np.maximum.accumulate(np.where(new_seq, np.arange(n), 0))
+            kept = np.flatnonzero(index)
+            asking = np.flatnonzero(fresh & (band >= 0) & (taken < q.candidates))
+            many = np.minimum(before[tie[asking]] - before[group[asking]], q.candidates)
+            asking, many = asking[many > 0], many[many > 0]
+            last = group[-1] + np.flatnonzero(index[group[-1] :])[: q.candidates]
+            held = t.take(pa.array(last))
+            out: list[tuple] = []
+            begin = 0
+            ends = np.cumsum(many)
+            while begin < len(asking):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _AT_ONCE, "right")))
+                a, m = asking[begin:end], many[begin:end]
+                nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                i = np.repeat(np.arange(len(a)), m)
+                probe, match = a[i], kept[before[group[a]][i] + nth]
+                low = int(band[a].max())
+                seen = ((keys[probe, :low] == keys[match, :low]) & there[probe, :low] & there[match, :low] & (np.arange(low) < band[probe][:, None])).any(axis=1)
+                odd = np.flatnonzero((mixed[probe] < band[probe]) & ~seen)  # an earlier band's key may be another band's key of the match
+                for x in range(0, len(odd), 1024):
+                    pr, ma = probe[odd[x : x + 1024]], match[odd[x : x + 1024]]
+                    asked = there[pr] & (np.arange(p.bands) < band[pr][:, None])
+                    seen[odd[x : x + 1024]] = ((keys[pr][:, :, None] == keys[ma][:, None, :]) & asked[:, :, None] & there[ma][:, None, :]).any(axis=(1, 2))
+                i, probe, match = i[~seen], probe[~seen], match[~seen]
+                first = np.searchsorted(i, np.arange(len(a) + 1))
+                nth = np.arange(len(i)) - first[i]
+                room = nth < q.candidates - taken[probe]
+                i, probe, match, nth = i[room], probe[room], match[room], nth[room]
+                found = np.bincount(i, minlength=len(a))
+                rows, estimate = _estimates(feats[probe], size[probe], feats[match], size[match], q.least)
+                hits: dict[int, list] = {}
+                for x, g, e in zip(i[rows].tolist(), zip(nth[rows].tolist(), who[match[rows]].tolist()), estimate.tolist()):
+                    hits.setdefault(x, []).append({"nth": g[0], "match": g[1], "jaccard": e})
+                out += [(w, bb, tk, f, hits.get(x)) for x, (w, bb, tk, f) in enumerate(zip(who[a].tolist(), band[a].tolist(), taken[a].tolist(), found.tolist())) if f]
+                begin = end
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("nth", pa.int32()), ("match", pa.int64()), ("jaccard", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["probe", "band", "taken", "found", "hits"])
+
+    return run
+
+
+def earlier_matches(s: DataFrame, p: SketchParams = SketchParams(), q: SearchParams = SearchParams()) -> DataFrame:
+    """(probe, match, jaccard, place): what search(s, s, p, q, earlier_only=True) gives, on disk of a bounded share of ``s``.
+
+    ``s``: id BIGINT, one row each and in the order that breaks ties, seq BIGINT, features BINARY (ascending, four bytes each). Sketches
+    travel to the keys that they share and are scored there, in passes over ascending bands that know how many candidates a probe had. As
+    candidates count by band and arrival, only the ``candidates`` earliest of a key can ever be one. Keys that occur in several bands go to every pass.
+    """
+    empty = "probe bigint, match bigint, jaccard double"
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, size = _flat(batch.column("features"))
+            o, b, k = keys_of(lists, np.repeat(np.arange(len(size)), size), p)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(o)), pa.array(b.astype(np.int16)), pa.array(k.astype(np.uint32).view(np.int32))], names=["id", "band", "band_key"])
+
+    one = Window.partitionBy("band_key")
+    shared = s.select("id", "features").mapInArrow(keyed, "id bigint, band smallint, band_key int").withColumns({"n": F.count("*").over(one), "mixed": F.min("band").over(one) < F.max("band").over(one)}).filter("n > 1")
+    shared = materialize(shared.groupBy("id").agg(F.collect_list(F.col("band").cast("int")).alias("shared"), F.collect_list(F.when(F.col("mixed"), F.col("band").cast("int"))).alias("mixed")), "shared_keys")
+    postings = shared.agg(F.sum(F.size("shared"))).first()[0] or 0
+    passes = max(1, min(p.bands, -(-postings * (4 * p.size + 48) // _PASS)))
+    best = s.sparkSession.createDataFrame([], empty)
+    taken = None
+    for n in range(passes):
+        low, high = n * p.bands // passes, (n + 1) * p.bands // passes
+
+        def posted(batches: Iterator[pa.RecordBatch], low=low, high=high) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists, size = _flat(batch.column("features"))
+                o, b, k = keys_of(lists, np.repeat(np.arange(len(size)), size), p)
+                wanted, every = np.zeros((2, len(size), p.bands), bool)
+                for to, name in ((wanted, "shared"), (every, "mixed")):
+                    c = batch.column(name)
+                    to[np.repeat(np.arange(len(size)), c.value_lengths().to_numpy(zero_copy_only=False)), c.flatten().to_numpy(zero_copy_only=False)] = True
+                asks = (b >= low) & (b < high)
+                go = (wanted[o, b] & asks) | every[o, b]
+                rows = pa.array(o[go])
+                yield pa.RecordBatch.from_arrays([pa.array(k[go]), *(batch.column(c).take(rows) for c in ("seq", "id")), pa.array(np.where(asks[go], b[go], -1).astype(np.int32)), *(batch.column(c).take(rows) for c in ("taken", "mixed", "features"))], names=["band_key", "seq", "id", "band", "taken", "mixed", "features"])
+
+        rows = s.select("id", "seq", "features").join(shared, "id")
+        rows = rows.join(taken, "id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("int")) if taken else rows.withColumn("taken", F.lit(0))
+        posts = rows.select("id", "seq", "taken", "shared", "mixed", "features").mapInArrow(posted, "band_key bigint, seq bigint, id bigint, band int, taken int, mixed array<int>, features binary")
+        met = materialize(posts.repartition("band_key").sortWithinPartitions("band_key", "seq", "id").mapInArrow(_met(p, q), _MET), "met")
+        earlier = F.coalesce(F.sum("found").over(Window.partitionBy("probe").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hits = met.withColumn("before", F.col("taken") + earlier).filter("size(hits) > 0").select("probe", "before", F.explode("hits").alias("h")).filter(F.col("before") + F.col("h.nth") < q.candidates).select("probe", "h.match", "h.jaccard")
+        place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("jaccard"), "match"))
+        better = materialize(best.select("probe", "match", "jaccard").unionByName(hits).withColumn("place", place).filter(F.col("place") <= q.limit), "matches")
+        counted = taken
+        if n + 1 < passes:
+            now = met.select(F.col("probe").alias("id"), F.col("found").cast("long").alias("taken"))
+            taken = materialize((now.unionByName(counted) if counted else now).groupBy("id").agg(F.sum("taken").alias("taken")), "taken")
+        discard(best, met, *filter(None, [counted]))
+        best = better
+    discard(shared)
+    return best

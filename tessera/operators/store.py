@@ -41,38 +41,67 @@ class StoreParams:
             raise ValueError("tried and depth must not be negative, the codec one of " + ", ".join(delta.CODECS))
 
 
-_SIZED = "target string, reference string, place int, raw_bytes int, payload binary, stored_bytes int"
+_SIZED = "target bigint, reference bigint, place int, raw_bytes int, stored_bytes int, good boolean"
+
+
+def _sketched(p: StoreParams):
+    """Packed sketch and compressed size of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = delta.CODECS[p.codec]()
+        for batch in batches:
+            each = batch.column("bytes").to_pylist()
+            lists = [sketches.features(v, p.sketch).tobytes() for v in each]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seq"), pa.array(lists, pa.binary()), pa.array([len(codec.compress(v)) for v in each], pa.int32())], names=["id", "seq", "features", "baseline"])
+
+    return run
 
 
 def _sized(codec_name: str):
-    """Raw and compressed size of each pair's delta; payload null where it does not decode to the target."""
+    """Raw and compressed size of each pair's delta, and whether it decodes to the target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = delta.CODECS[codec_name]()
         for batch in batches:
-            raw, payload, stored = [], [], []
+            raw, stored, good = [], [], []
             for t, r in zip(batch.column("target_bytes").to_pylist(), batch.column("reference_bytes").to_pylist()):
                 d = delta.encode(r, t)
                 packed = codec.compress(d)
-                good = delta.apply(r, codec.decompress(packed)) == t
                 raw.append(len(d))
-                payload.append(packed if good else None)
                 stored.append(len(packed) + delta.POINTER_BYTES)
-            yield pa.RecordBatch.from_arrays([batch.column("target"), batch.column("reference"), batch.column("place"), pa.array(raw, pa.int32()), pa.array(payload, pa.binary()), pa.array(stored, pa.int32())], names=["target", "reference", "place", "raw_bytes", "payload", "stored_bytes"])
+                good.append(delta.apply(r, codec.decompress(packed)) == t)
+            yield pa.RecordBatch.from_arrays([batch.column("target"), batch.column("reference"), batch.column("place"), pa.array(raw, pa.int32()), pa.array(stored, pa.int32()), pa.array(good, pa.bool_())], names=["target", "reference", "place", "raw_bytes", "stored_bytes", "good"])
 
     return run
 
 
-def _compressed(codec_name: str):
+def _packed(codec_name: str, kept: list[str]):
+    """Payload of each chunk: compressed as it is or, where it has a reference, as its delta."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = delta.CODECS[codec_name]()
         for batch in batches:
-            packed = [codec.compress(b) for b in batch.column("bytes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("seq"), batch.column("length"), pa.array(packed, pa.binary())], names=["digest", "seq", "length", "payload"])
+            packed = [codec.compress(b if r is None else delta.encode(r, b)) for b, r in zip(batch.column("bytes").to_pylist(), batch.column("reference_bytes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(packed, pa.binary())], names=[*kept, "payload"])
 
     return run
 
 
+#: Rows of one slice of the tables that carry bytes, and most slices; each is a step of its own, whose shuffle files go before the next.
+_SLICE, _SLICES = 100_000, 8
+
+
+def _by_slices(make, rows: int, name: str) -> DataFrame:
+    """``make(keep)`` for slices of the chunks' ids, ``keep`` telling whether a column of ids is in the slice."""
+    n = max(1, min(_SLICES, -(-rows // _SLICE)))
+    parts = [materialize(make(lambda c, i=i: F.pmod(F.xxhash64(c), F.lit(n)) == i), name) for i in range(n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out.parts = parts
+    return out
+
+
 #: Candidate pairs of one fragment of the arrival order.
 _FACTS = 200_000
 
@@ -82,9 +111,9 @@ def _decided(depth: int, tried: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("seq", "ascending"), ("place", "ascending")])
-        done: dict[str, int] = {}
+        done: dict[int, int] = {}
         out: list[tuple] = []
-        rows: dict[str, list[tuple]] = {}
+        rows: dict[int, list[tuple]] = {}
         for target, *fact in zip(*(table.column(c).to_pylist() for c in ("target", "reference", "place", "raw_bytes", "wins", "reference_depth"))):
             rows.setdefault(target, []).append(fact)
         for target, facts in rows.items():
@@ -96,7 +125,7 @@ def _decided(depth: int, tried: int):
             won = best is not None and best[3]
             done[target] = best[0] + 1 if won else 0
             out.append((target, done[target], best[2] if won else None))
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["digest", "depth", "reference"])
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["id", "depth", "reference"])
 
     return run
 
@@ -108,37 +137,63 @@ def ingest(blobs: DataFrame, p: StoreParams = StoreParams()) -> tuple[DataFrame,
     standalone_baseline_bytes, candidates (similar chunks found and sized), fallbacks (of them, those whose delta did not decode to the
     chunk); both null where no search is made. manifest: blob_id, ord, digest, length. A chunk's references come earlier.
     """
-    chunks = materialize(chunking.content_chunks(blobs.select("blob_id", "seq", "content"), "content", p.sizes), "chunks")
+    chunks = chunking.content_chunks(blobs.select("blob_id", "seq", "content"), "content", p.sizes)
+    manifest = chunks.select("blob_id", "ord", "digest", "length")  # cut anew where it is read
     place = F.col("seq") * F.lit(1 << 24) + F.col("ord")
-    one = materialize(chunks.groupBy("digest").agg(F.min(place).alias("seq"), F.min("length").alias("length"), F.min("bytes").alias("bytes")), "unique")
-    alone = materialize(one.mapInArrow(_compressed(p.codec), "digest string, seq bigint, length int, payload binary"), "alone")
-    base = alone.select("digest", "seq", "length", "payload", F.octet_length("payload").alias("baseline"))
-    manifest = chunks.select("blob_id", "ord", "digest", "length")
-    nothing = base.select("digest", "seq", "length", F.lit("standalone").alias("kind"), "payload", F.lit(None).cast("string").alias("reference_digest"), F.col("baseline").alias("stored_bytes"), F.lit(0).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"), F.lit(None).cast("long").alias("candidates"), F.lit(None).cast("long").alias("fallbacks"))
-    if not p.tried or not p.depth:
-        return nothing, manifest
-    s = materialize(sketches.sketched(one.select(F.col("digest").alias("id"), "seq", F.col("bytes").alias("content")), "content", p.sketch), "sketches")
-    pairs = sketches.search(s, s, p.sketch, p.search, earlier_only=True).select(F.col("probe").alias("target"), F.col("match").alias("reference"), "place")
-    with_bytes = pairs.join(one.select(F.col("digest").alias("target"), F.col("bytes").alias("target_bytes")), "target").join(one.select(F.col("digest").alias("reference"), F.col("bytes").alias("reference_bytes")), "reference")
-    sized = materialize(with_bytes.select("target", "reference", "place", "target_bytes", "reference_bytes").mapInArrow(_sized(p.codec), _SIZED), "deltas")
-    facts = sized.join(base.select(F.col("digest").alias("target"), "baseline", "seq"), "target").select("target", "seq", "reference", "place", "raw_bytes", (F.col("payload").isNotNull() & (F.col("stored_bytes") < F.col("baseline"))).alias("wins"))
-    whole = facts.count()
+    unique = chunks.groupBy("digest").agg(F.min(place).alias("seq"), F.min("length").alias("length"), F.min("bytes").alias("bytes"))
+    one = materialize(unique.repartitionByRange("digest").sortWithinPartitions("digest").withColumn("id", F.monotonically_increasing_id()), "unique")  # ids in the order of digests
+    whole = one.count()
+    searched = bool(p.tried and p.depth)
+    settled = sized = base = None
+    if searched:
+        s = materialize(one.select("id", "seq", "bytes").mapInArrow(_sketched(p), "id bigint, seq bigint, features binary, baseline int"), "sketches")
+        matches = sketches.earlier_matches(s.select("id", "seq", "features"), p.sketch, p.search)
+        pairs = matches.select(F.col("probe").alias("target"), F.col("match").alias("reference"), "place")
+        base = materialize(s.select("id", "seq", "baseline"), "alone")
+        discard(s)
+        targets, references = (one.select(F.col("id").alias(c), F.col("bytes").alias(f"{c}_bytes")) for c in ("target", "reference"))
+        sized = _by_slices(lambda keep: pairs.filter(keep("target")).join(targets.filter(keep("target")), "target").join(references, "reference").select("target", "reference", "place", "target_bytes", "reference_bytes").mapInArrow(_sized(p.codec), _SIZED), matches.count(), "deltas")
+        settled = _settled(sized, base, p)
+    kept = ["digest", "seq", "length", "id", "reference", "depth"]
+
+    def packed(keep) -> DataFrame:
+        own = one.filter(keep("id"))
+        nothing = own.select("digest", "seq", "length", "id", F.lit(None).cast("bigint").alias("reference"), F.lit(0).alias("depth"), "bytes", F.lit(None).cast("binary").alias("reference_bytes"), F.lit(None).cast("string").alias("reference_digest"))
+        if searched:
+            picked = settled.filter(F.col("reference").isNotNull() & keep("id"))
+            upper = one.select(F.col("id").alias("reference"), F.col("bytes").alias("reference_bytes"), F.col("digest").alias("reference_digest"))
+            nothing = nothing.join(picked.select("id"), "id", "left_anti").select(nothing.columns).unionByName(own.join(picked, "id").join(upper, "reference").select(nothing.columns))
+        out = nothing.mapInArrow(_packed(p.codec, [*kept, "reference_digest"]), "digest string, seq bigint, length int, id bigint, reference bigint, depth int, reference_digest string, payload binary")
+        has = F.col("reference").isNotNull()
+        size = F.octet_length("payload")
+        if searched:
+            examined = sized.filter(keep("target")).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("found"), F.count_if(~F.col("good")).alias("failed"))
+            out = out.join(base.filter(keep("id")).select("id", "baseline"), "id").join(examined, "id", "left").withColumns({"candidates": F.coalesce("found", F.lit(0)).cast("long"), "fallbacks": F.coalesce("failed", F.lit(0)).cast("long")})
+        else:
+            out = out.withColumns({"baseline": size, "candidates": F.lit(None).cast("long"), "fallbacks": F.lit(None).cast("long")})
+        return out.select("digest", "seq", "length", F.when(has, "delta").otherwise("standalone").alias("kind"), "payload", "reference_digest", F.when(has, size + delta.POINTER_BYTES).otherwise(size).alias("stored_bytes"), F.col("depth").alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"), "candidates", "fallbacks")
+
+    records = _by_slices(packed, whole, "records")
+    discard(one, *([matches, base, settled, *sized.parts] if searched else []))
+    return records, manifest
+
+
+def _settled(sized: DataFrame, base: DataFrame, p: StoreParams) -> DataFrame:
+    """(id, depth, reference) of every chunk, decided in order of arrival."""
+    facts = sized.join(base.select(F.col("id").alias("target"), "baseline", "seq"), "target").select("target", "seq", "reference", "place", "raw_bytes", (F.col("good") & (F.col("stored_bytes") < F.col("baseline"))).alias("wins"))
+    whole = sized.count()
     waiting = materialize(facts.repartitionByRange(-(-whole // _FACTS) or 1, "seq").withColumn("frag", F.spark_partition_id()), "waiting")
-    settled = base.select("digest").join(waiting.select(F.col("target").alias("digest")), "digest", "left_anti").select("digest", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("reference"))
+    settled = base.select("id").join(waiting.select(F.col("target").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("reference"))
     settled = materialize(settled, "settled")
     while not waiting.isEmpty():
-        known = waiting.join(settled.select(F.col("digest").alias("reference"), F.col("depth").alias("reference_depth")), "reference", "left")
-        new = known.select("frag", "target", "seq", "reference", "place", "raw_bytes", "wins", "reference_depth").groupBy("frag").applyInArrow(_decided(p.depth, p.tried), "digest string, depth int, reference string")
+        known = waiting.join(settled.select(F.col("id").alias("reference"), F.col("depth").alias("reference_depth")), "reference", "left")
+        new = known.select("frag", "target", "seq", "reference", "place", "raw_bytes", "wins", "reference_depth").groupBy("frag").applyInArrow(_decided(p.depth, p.tried), "id bigint, depth int, reference bigint")
         both = materialize(settled.unionByName(new), "settled")
-        rest = materialize(waiting.join(both.select(F.col("digest").alias("target")), "target", "left_anti"), "waiting")
+        rest = materialize(waiting.join(both.select(F.col("id").alias("target")), "target", "left_anti"), "waiting")
         discard(settled, waiting)
         settled, waiting = both, rest
-    picked = settled.filter("reference is not null").join(sized.select(F.col("target").alias("digest"), "reference", F.col("payload").alias("delta"), F.col("stored_bytes").alias("delta_stored")), ["digest", "reference"])
-    examined = sized.groupBy(F.col("target").alias("digest")).agg(F.count("*").alias("found"), F.count_if(F.col("payload").isNull()).alias("fallbacks"))
-    joined = base.join(picked, "digest", "left").join(examined, "digest", "left")
-    has = F.col("reference").isNotNull()
-    records = joined.select("digest", "seq", "length", F.when(has, "delta").otherwise("standalone").alias("kind"), F.when(has, F.col("delta")).otherwise(F.col("payload")).alias("payload"), F.col("reference").alias("reference_digest"), F.when(has, F.col("delta_stored")).otherwise(F.col("baseline")).alias("stored_bytes"), F.coalesce("depth", F.lit(0)).alias("chain_depth"), F.col("baseline").alias("standalone_baseline_bytes"), F.coalesce("found", F.lit(0)).cast("long").alias("candidates"), F.coalesce("fallbacks", F.lit(0)).cast("long").alias("fallbacks"))
-    return materialize(records, "records"), manifest
+    discard(waiting)
+    return settled
 
 
 def _decoded(codec_name: str):

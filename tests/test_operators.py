@@ -1,6 +1,7 @@
 """Operators without SQL: the store, the ranking, streams, snapshots; and results under other partitionings."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -131,3 +132,43 @@ def test_store_counters_and_chain_faults(spark):
     got = {r.digest: r.fault for r in store.chain_faults(spark.createDataFrame(chain, "digest string, kind string, reference_digest string"), 2).collect()}
     assert got == {"d": "too_deep", "e": "missing_reference", "f": "missing_reference", "g": "cycle", "h": "cycle", "i": "cycle"}
     assert [r.digest for r in store.listed(records).orderBy("pos").collect()] == [r.digest for r in sorted(rows, key=lambda r: (r.seq, r.digest))]
+
+
+def test_bounded_search_equals_the_whole_one(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [b" ".join(rng.choice([b"harbour ledger", b"hollow choir", b"amber relay", b"northern kiln at dawn"]) for _ in range(rng.randint(0, 6))) for _ in range(120)]
+    # few strata with one feature each: many share a key, the bound on candidates binds, and estimates tie
+    p, q = sketches.SketchParams(size=8, gram=4, bands=8, rows=1), sketches.SearchParams(limit=5, least=0.1, candidates=9)
+    rows = [(i, rng.randrange(60), t) for i, t in enumerate(texts)]
+    s = sketches.sketched(spark.createDataFrame(rows, "id long, seq long, content binary"), "content", p).localCheckpoint()
+    want = {(r.probe, r.match, r.place): r.jaccard for r in sketches.search(s, s, p, q, earlier_only=True).collect()}
+    packed = spark.createDataFrame([(i, seq, sketches.features(t, p).tobytes()) for i, seq, t in rows], "id long, seq long, features binary")
+    for bytes_a_pass in (1 << 30, 1):  # one pass, a pass a band
+        monkeypatch.setattr(sketches, "_PASS", bytes_a_pass)
+        assert {(r.probe, r.match, r.place): r.jaccard for r in sketches.earlier_matches(packed, p, q).collect()} == want
+
+
+def test_store_leaves_and_holds_little_on_disk(spark, monkeypatch):
+    rng = random.Random(13)
+    base = rng.randbytes(3000)
+    content = [(str(i), i, b"".join(base[k : k + 100] if rng.random() < 0.5 else rng.randbytes(100) for k in range(0, 3000, 100))) for i in range(150)]
+    held, most, write, drop = {}, [0], store.materialize, store.discard
+
+    def materialize(df, name):
+        out = write(df, name)
+        held[out.scratch] = sum(f.stat().st_size for f in Path(out.scratch.removeprefix("file:")).rglob("*.parquet"))
+        most[0] = max(most[0], sum(held.values()))
+        return out
+
+    def discard(*frames):
+        drop(*frames)
+        for f in frames:
+            held.pop(getattr(f, "scratch", None), None)
+
+    for module in (store, sketches):
+        monkeypatch.setattr(module, "materialize", materialize)
+        monkeypatch.setattr(module, "discard", discard, raising=False)
+    records, _ = store.ingest(spark.createDataFrame(content, "blob_id string, seq long, content binary"), store.StoreParams(sizes=chunking.ChunkSizes(64, 256, 1024)))
+    assert records.filter("kind = 'delta'").count() > 50
+    whole = sum(len(c) for _, _, c in content)
+    assert sum(held.values()) < 1.6 * whole and most[0] < 3.5 * whole, (held, most, whole)
