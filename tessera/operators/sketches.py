@@ -81,6 +81,24 @@ def features(value: bytes, p: SketchParams) -> np.ndarray:
     return np.unique(np_mix32(window_hashes(data, min(p.gram, len(data)))))[: p.size]
 
 
+def batch_features(values: list[bytes], p: SketchParams) -> tuple[np.ndarray, np.ndarray]:
+    """features() of all values one after another, and how many each has."""
+    size = np.array([len(v) for v in values], np.int64)
+    data = np.frombuffer(b"".join(values), np.uint8)
+    long = size >= p.gram
+    hashes = np_mix32(window_hashes(data, p.gram)) if len(data) >= p.gram else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(len(values)), size)[: len(hashes)]
+    within = np.arange(len(hashes)) < np.cumsum(size)[owner] - p.gram + 1  # no window over two values
+    words_ = owner[within].astype(np.uint64) << np.uint64(32) | hashes[within]
+    few = [np.uint64(i) << np.uint64(32) | features(values[i], p).astype(np.uint64) for i in np.flatnonzero(~long & (size > 0)).tolist()]
+    words_ = np.sort(np.concatenate([words_, *few]))
+    words_ = words_[np.append(True, words_[1:] != words_[:-1])] if len(words_) else words_
+    owner = (words_ >> np.uint64(32)).astype(np.int64)
+    many = np.bincount(owner, minlength=len(values))
+    nth = np.arange(len(words_)) - np.repeat(np.cumsum(many) - many, many)
+    return words_[nth < p.size].astype(np.uint32), np.minimum(many, p.size)
+
+
 def sketched(df: DataFrame, content_col: str, p: SketchParams = SketchParams()) -> DataFrame:
     """``df`` with ``features`` ARRAY<BIGINT> in place of the BINARY ``content_col``; null gives an empty sketch."""
     kept = [c for c in df.columns if c != content_col]
@@ -178,7 +196,7 @@ def all_matches(probes: DataFrame, index: DataFrame, p: SketchParams = SketchPar
 _PASS = 96 << 20
 #: Pairs that are scored at once.
 _AT_ONCE = 1 << 15
-_MET = "probe bigint, band int, taken int, found int, hits array<struct<nth:int,match:bigint,jaccard:double>>"
+_MET = "probe bigint, band int, found int, hits array<struct<nth:int,match:bigint,jaccard:double>>"
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +234,7 @@ def _met(p: SketchParams, q: SearchParams):
             if held is not None:
                 fresh = np.append(np.zeros(len(held), bool), fresh)
                 t = pa.concat_tables([held, t]).combine_chunks()
-            key, seq, who, band, taken = (t.column(c).to_numpy() for c in ("band_key", "seq", "id", "band", "taken"))
+            key, seq, who, band = (t.column(c).to_numpy() for c in ("band_key", "seq", "id", "band"))
             n = len(t)
             lists, size = _flat(t.column("features").combine_chunks())
             owner = np.repeat(np.arange(n), size)
@@ -233,7 +251,7 @@ def _met(p: SketchParams, q: SearchParams):
             group = np.maximum.accumulate(np.where(new_key, np.arange(n), 0))
             tie = np.maximum.accumulate(np.where(new_seq, np.arange(n), 0))
             kept = np.flatnonzero(index)
-            asking = np.flatnonzero(fresh & (band >= 0) & (taken < q.candidates))
+            asking = np.flatnonzero(fresh & (band >= 0))
             many = np.minimum(before[tie[asking]] - before[group[asking]], q.candidates)
             asking, many = asking[many > 0], many[many > 0]
             last = group[-1] + np.flatnonzero(index[group[-1] :])[: q.candidates]
@@ -257,26 +275,35 @@ def _met(p: SketchParams, q: SearchParams):
                 i, probe, match = i[~seen], probe[~seen], match[~seen]
                 first = np.searchsorted(i, np.arange(len(a) + 1))
                 nth = np.arange(len(i)) - first[i]
-                room = nth < q.candidates - taken[probe]
-                i, probe, match, nth = i[room], probe[room], match[room], nth[room]
                 found = np.bincount(i, minlength=len(a))
                 rows, estimate = _estimates(feats[probe], size[probe], feats[match], size[match], q.least)
                 hits: dict[int, list] = {}
                 for x, g, e in zip(i[rows].tolist(), zip(nth[rows].tolist(), who[match[rows]].tolist()), estimate.tolist()):
                     hits.setdefault(x, []).append({"nth": g[0], "match": g[1], "jaccard": e})
-                out += [(w, bb, tk, f, hits.get(x)) for x, (w, bb, tk, f) in enumerate(zip(who[a].tolist(), band[a].tolist(), taken[a].tolist(), found.tolist())) if f]
+                out += [(w, bb, f, hits.get(x)) for x, (w, bb, f) in enumerate(zip(who[a].tolist(), band[a].tolist(), found.tolist())) if f]
                 begin = end
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("nth", pa.int32()), ("match", pa.int64()), ("jaccard", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["probe", "band", "taken", "found", "hits"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("nth", pa.int32()), ("match", pa.int64()), ("jaccard", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["probe", "band", "found", "hits"])
 
     return run
 
 
+def _listed(ids: np.ndarray, bitmaps: dict[int, bytes]) -> np.ndarray:
+    """Which ids are set in bitmaps by bucket, numbered as Spark's bitmap functions do."""
+    bucket, bit = np.where(ids > 0, 1 + (ids - 1) // 32768, ids // 32768), np.where(ids > 0, (ids - 1) % 32768, -ids % 32768)
+    out = np.zeros(len(ids), bool)
+    for x in np.unique(bucket).tolist():
+        if x in bitmaps:
+            own = bucket == x
+            out[own] = np.frombuffer(bitmaps[x], np.uint8)[bit[own] // 8] >> (bit[own] % 8) & 1
+    return out
+
+
 def earlier_matches(s: DataFrame, p: SketchParams = SketchParams(), q: SearchParams = SearchParams()) -> DataFrame:
     """(probe, match, jaccard, place): what search(s, s, p, q, earlier_only=True) gives, on disk of a bounded share of ``s``.
 
     ``s``: id BIGINT, one row each and in the order that breaks ties, seq BIGINT, features BINARY (ascending, four bytes each). Sketches
-    travel to the keys that they share and are scored there, in passes over ascending bands that know how many candidates a probe had. As
+    travel to the keys that they share and are scored there, in passes over ascending bands; a probe that has all its candidates asks no more. As
     candidates count by band and arrival, only the ``candidates`` earliest of a key can ever be one. Keys that occur in several bands go to every pass.
     """
     empty = "probe bigint, match bigint, jaccard double"
@@ -289,15 +316,16 @@ def earlier_matches(s: DataFrame, p: SketchParams = SketchParams(), q: SearchPar
 
     one = Window.partitionBy("band_key")
     shared = s.select("id", "features").mapInArrow(keyed, "id bigint, band smallint, band_key int").withColumns({"n": F.count("*").over(one), "mixed": F.min("band").over(one) < F.max("band").over(one)}).filter("n > 1")
-    shared = materialize(shared.groupBy("id").agg(F.collect_list(F.col("band").cast("int")).alias("shared"), F.collect_list(F.when(F.col("mixed"), F.col("band").cast("int"))).alias("mixed")), "shared_keys")
+    shared = shared.groupBy("id").agg(F.collect_list(F.col("band").cast("int")).alias("shared"), F.collect_list(F.when(F.col("mixed"), F.col("band").cast("int"))).alias("mixed"))
+    shared = materialize(s.select("id", "seq", "features").join(shared, "id"), "shared_keys")
     postings = shared.agg(F.sum(F.size("shared"))).first()[0] or 0
     passes = max(1, min(p.bands, -(-postings * (4 * p.size + 48) // _PASS)))
     best = s.sparkSession.createDataFrame([], empty)
-    taken = None
+    taken, full = None, {}
     for n in range(passes):
         low, high = n * p.bands // passes, (n + 1) * p.bands // passes
 
-        def posted(batches: Iterator[pa.RecordBatch], low=low, high=high) -> Iterator[pa.RecordBatch]:
+        def posted(batches: Iterator[pa.RecordBatch], low=low, high=high, full=s.sparkSession.sparkContext.broadcast(full)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists, size = _flat(batch.column("features"))
                 o, b, k = keys_of(lists, np.repeat(np.arange(len(size)), size), p)
@@ -305,23 +333,24 @@ def earlier_matches(s: DataFrame, p: SketchParams = SketchParams(), q: SearchPar
                 for to, name in ((wanted, "shared"), (every, "mixed")):
                     c = batch.column(name)
                     to[np.repeat(np.arange(len(size)), c.value_lengths().to_numpy(zero_copy_only=False)), c.flatten().to_numpy(zero_copy_only=False)] = True
-                asks = (b >= low) & (b < high)
-                go = (wanted[o, b] & asks) | every[o, b]
+                asks = (b >= low) & (b < high) & ~_listed(batch.column("id").to_numpy(), full.value)[o]
+                go = (wanted[o, b] & (b >= low) & (b < high)) | every[o, b]
                 rows = pa.array(o[go])
-                yield pa.RecordBatch.from_arrays([pa.array(k[go]), *(batch.column(c).take(rows) for c in ("seq", "id")), pa.array(np.where(asks[go], b[go], -1).astype(np.int32)), *(batch.column(c).take(rows) for c in ("taken", "mixed", "features"))], names=["band_key", "seq", "id", "band", "taken", "mixed", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[go]), *(batch.column(c).take(rows) for c in ("seq", "id")), pa.array(np.where(asks[go], b[go], -1).astype(np.int32)), *(batch.column(c).take(rows) for c in ("mixed", "features"))], names=["band_key", "seq", "id", "band", "mixed", "features"])
 
-        rows = s.select("id", "seq", "features").join(shared, "id")
-        rows = rows.join(taken, "id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("int")) if taken else rows.withColumn("taken", F.lit(0))
-        posts = rows.select("id", "seq", "taken", "shared", "mixed", "features").mapInArrow(posted, "band_key bigint, seq bigint, id bigint, band int, taken int, mixed array<int>, features binary")
+        posts = shared.mapInArrow(posted, "band_key bigint, seq bigint, id bigint, band int, mixed array<int>, features binary")
         met = materialize(posts.repartition("band_key").sortWithinPartitions("band_key", "seq", "id").mapInArrow(_met(p, q), _MET), "met")
+        had = met.join(taken.select(F.col("id").alias("probe"), "taken"), "probe", "left").withColumn("taken", F.coalesce("taken", F.lit(0))) if taken else met.withColumn("taken", F.lit(0))
         earlier = F.coalesce(F.sum("found").over(Window.partitionBy("probe").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        hits = met.withColumn("before", F.col("taken") + earlier).filter("size(hits) > 0").select("probe", "before", F.explode("hits").alias("h")).filter(F.col("before") + F.col("h.nth") < q.candidates).select("probe", "h.match", "h.jaccard")
+        hits = had.withColumn("before", F.col("taken") + earlier).filter("size(hits) > 0").select("probe", "before", F.explode("hits").alias("h")).filter(F.col("before") + F.col("h.nth") < q.candidates).select("probe", "h.match", "h.jaccard")
         place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("jaccard"), "match"))
         better = materialize(best.select("probe", "match", "jaccard").unionByName(hits).withColumn("place", place).filter(F.col("place") <= q.limit), "matches")
         counted = taken
         if n + 1 < passes:
             now = met.select(F.col("probe").alias("id"), F.col("found").cast("long").alias("taken"))
             taken = materialize((now.unionByName(counted) if counted else now).groupBy("id").agg(F.sum("taken").alias("taken")), "taken")
+            bits = taken.filter(F.col("taken") >= q.candidates).groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+            full = {r.bucket: bytes(r.bits) for r in bits.toLocalIterator()}  # a bit for each chunk at most
         discard(best, met, *filter(None, [counted]))
         best = better
     discard(shared)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,10 @@ def _sketched(p: StoreParams):
         codec = delta.CODECS[p.codec]()
         for batch in batches:
             each = batch.column("bytes").to_pylist()
-            lists = [sketches.features(v, p.sketch).tobytes() for v in each]
+            lists = []
+            for at in range(0, len(each), 500):
+                flat, size = sketches.batch_features(each[at : at + 500], p.sketch)
+                lists += [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seq"), pa.array(lists, pa.binary()), pa.array([len(codec.compress(v)) for v in each], pa.int32())], names=["id", "seq", "features", "baseline"])
 
     return run
@@ -64,8 +68,9 @@ def _sized(codec_name: str):
         codec = delta.CODECS[codec_name]()
         for batch in batches:
             raw, stored, good = [], [], []
-            for t, r in zip(batch.column("target_bytes").to_pylist(), batch.column("reference_bytes").to_pylist()):
-                d = delta.encode(r, t)
+            targets, references = batch.column("target_bytes").to_pylist(), batch.column("reference_bytes").to_pylist()
+            for t, r, asked, held in zip(targets, references, delta.batch_hashes(targets), delta.batch_hashes(references)):
+                d = delta.encode(r, t, held, asked)
                 packed = codec.compress(d)
                 raw.append(len(d))
                 stored.append(len(packed) + delta.POINTER_BYTES)
